@@ -88,34 +88,79 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, filled on demand; emptied when large, so memory stays bounded."""
+_BASE = np.uint64(0x2545F4914F6CDD1D)
+_INVERSE = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+SLICE = 1 << 20
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+class Words:
+    """64-bit hashes of the words of many texts at once.
 
+    Words are the runs between ASCII white space, A-Z lowered. A word's hash is a polynomial in its bytes,
+    taken from prefix sums modulo 2^64 and mixed with its length; nothing is cached between texts.
+    """
 
-def shingle_hashes(text: bytes, cache: WordHash, w: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's w-word shingles (words split at ASCII white space, A-Z lowered).
+    def __init__(self):
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+        self.blank = np.zeros(256, bool)
+        self.blank[[32, *range(9, 14)]] = True
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, SLICE + 4096)
+            with np.errstate(over="ignore"):
+                self.power = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE)], dtype=np.uint64)
+                self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _INVERSE)], dtype=np.uint64)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in order, and where each text's begin (one more than texts)."""
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        ends_of = np.cumsum([len(t) + 1 for t in texts])
+        self._powers(len(data) + 1)
+        blank = self.blank[data]
+        word = np.r_[False, ~blank]
+        starts = np.flatnonzero(~word[:-1] & word[1:])
+        ends = np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+        sums = np.cumsum((self.lower[data].astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], dtype=np.uint64)
+        sums = np.r_[np.uint64(0), sums]
+        h = (sums[ends] - sums[starts]) * self.inverse[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * _STEP), np.searchsorted(starts, np.r_[0, ends_of])
+
+
+def slices(texts: list[bytes]):
+    """Runs (from, to) of texts of about SLICE bytes, one text at least."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > SLICE:
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def shingle_sets(texts: list[bytes], words: Words, w: int = SHINGLE):
+    """For each text the sorted distinct 64-bit hashes of its w-word shingles.
 
     Fewer than w words: the whole sequence is the one shingle. No words: none.
     """
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    a = cache.of(words)
-    step, seed = np.uint64(0x9E3779B97F4A7C15), np.uint64(min(n, w))
-    m = max(1, n - w + 1)
-    acc = np.full(m, seed, np.uint64)
-    for i in range(min(n, w)):
-        acc = acc * step + a[i : i + m]
-    return np.unique(mix(acc))
+    for lo, hi in slices(texts):
+        h, cut = words.of(texts[lo:hi])
+        acc = np.full(max(0, len(h) - w + 1), np.uint64(w))
+        for i in range(w if len(acc) else 0):
+            acc = acc * _STEP + h[i : i + len(acc)]
+        acc = mix(acc)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if b - a >= w:
+                s = np.sort(acc[a : b - w + 1])
+                yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s
+            elif b > a:
+                one = np.full(1, np.uint64(b - a))
+                for i in range(a, b):
+                    one = one * _STEP + h[i]
+                yield mix(one)
+            else:
+                yield np.empty(0, np.uint64)
