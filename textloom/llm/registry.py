@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .fingerprint import op1_minhash_fingerprints
 from .ngram_join import op5_ngram_jaccard_join
 
 QUERIES = {
+    "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
