@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .decontamination import op9_qgram_decontamination
 from .fingerprint import op1_minhash_fingerprints
 from .ngram_join import op5_ngram_jaccard_join
+from .packing import op8_cutting_stock_packing
+from .toxicity import op4_toxicity_severity
 
 QUERIES = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
+    "op4_toxicity_severity": op4_toxicity_severity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op8_cutting_stock_packing": op8_cutting_stock_packing,
+    "op9_qgram_decontamination": op9_qgram_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
