@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from .chat import op7_budgeted_chat_windows
 from .decontamination import op9_qgram_decontamination
 from .fingerprint import op1_minhash_fingerprints
 from .ngram_join import op5_ngram_jaccard_join
 from .packing import op8_cutting_stock_packing
+from .quality import op10_cotraining_quality
 from .toxicity import op4_toxicity_severity
+from .url_filter import op3_host_reputation
 
 QUERIES = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
+    "op3_host_reputation": op3_host_reputation,
     "op4_toxicity_severity": op4_toxicity_severity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_budgeted_chat_windows": op7_budgeted_chat_windows,
     "op8_cutting_stock_packing": op8_cutting_stock_packing,
     "op9_qgram_decontamination": op9_qgram_decontamination,
+    "op10_cotraining_quality": op10_cotraining_quality,
 }
+
+#: Methods that are fitted, hashed or iterative have no SQL; tests/llm compare those with brute force.
 ORACLE_SQL: dict[str, str] = {}
