@@ -7,12 +7,14 @@ from .decontamination import op9_qgram_decontamination
 from .fingerprint import op1_minhash_fingerprints
 from .ngram_join import op5_ngram_jaccard_join
 from .packing import op8_cutting_stock_packing
+from .pii import op2_boosted_pii_spans
 from .quality import op10_cotraining_quality
 from .toxicity import op4_toxicity_severity
 from .url_filter import op3_host_reputation
 
 QUERIES = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
+    "op2_boosted_pii_spans": op2_boosted_pii_spans,
     "op3_host_reputation": op3_host_reputation,
     "op4_toxicity_severity": op4_toxicity_severity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
