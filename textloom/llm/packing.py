@@ -26,11 +26,12 @@ WIDTH = 16
 END_ID = 1
 SEPARATOR = "<|endoftext|>"
 PART = 500_000
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_500_000
 
 
 class Tokens:
-    """Ids of whole texts. White space always ends a token here, so words are encoded once and remembered.
+    """Ids of whole texts. White space always ends a token here and case is lost, so words are encoded once, lowered,
+    and remembered.
 
     Of the remembered words the last CACHE_WORDS or so stay, in two generations, which bounds memory.
     """
@@ -39,25 +40,44 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        size = self.tok.get_vocab_size()
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode the words, many to a text with a special token between them."""
-        for i in range(0, len(words), 400):
-            run = words[i : i + 400]
-            ids = np.array(self.tok.encode(SEPARATOR.join(w.decode() for w in run) + SEPARATOR, add_special_tokens=False).ids, "<u4")
+        """Encode the words, many to a text. Letters with or without one comma or full stop are one or two pieces for
+        the tokenizer, each of which ends in a token marked so; any other word has a special token around it."""
+        plain, other = [], []
+        for w in words:
+            s = w.decode()
+            core = s[:-1] if s[-1] in ",." else s
+            if core.isalpha():
+                plain.append((w, s, 1 + (core is not s)))
+            else:
+                other.append((w, s))
+        for i in range(0, len(plain), 500):
+            run = plain[i : i + 500]
+            ids = np.array(self.tok.encode(" ".join([s for _, s, _ in run]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids])[np.cumsum([k for _, _, k in run]) - 1].tolist()
+            self._keep([w for w, _, _ in run], ids, [-1, *ends], [e + 1 for e in ends])
+        for i in range(0, len(other), 500):
+            run = other[i : i + 500]
+            ids = np.array(self.tok.encode(SEPARATOR.join([s for _, s in run]) + SEPARATOR, add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(ids == self.tok.token_to_id(SEPARATOR)).tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(run, [-1, *ends], ends):
-                self.known[w] = raw[4 * a + 4 : 4 * b]
+            self._keep([w for w, _ in run], ids, [-1, *ends], ends)
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, before: list[int], ends: list[int]) -> None:
+        raw = ids.tobytes()
+        for w, a, b in zip(words, before, ends):
+            self.known[w] = raw[4 * a + 4 : 4 * b]
 
     def ids(self, batch: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Texts with special-token openers are encoded as they are."""
         if len(self.known) > CACHE_WORDS // 2:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        words = [() if b"<|" in t else t.split() for t in batch]
+        words = [() if b"<|" in t else t.lower().split() for t in batch]
         got = [list(map(known.get, w)) for w in words]
         missing: dict[bytes, None] = {}
         for w, g in zip(words, got):
