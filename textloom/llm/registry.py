@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op7_budgeted_chat_windows
+from .context_mixing import op6_context_mixing
 from .decontamination import op9_qgram_decontamination
 from .fingerprint import op1_minhash_fingerprints
 from .ngram_join import op5_ngram_jaccard_join
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_host_reputation": op3_host_reputation,
     "op4_toxicity_severity": op4_toxicity_severity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_context_mixing": op6_context_mixing,
     "op7_budgeted_chat_windows": op7_budgeted_chat_windows,
     "op8_cutting_stock_packing": op8_cutting_stock_packing,
     "op9_qgram_decontamination": op9_qgram_decontamination,
