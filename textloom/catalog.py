@@ -1,4 +1,346 @@
-"""Named queries over the driver's tables and the same queries as SQL."""
+"""Named queries over the driver's tables and the same queries as SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import Thresholds
+from .functions import normalize as N
+from .functions import text as T
+from .operators import compose, contamination, dedup, quality, records, vectors, versions
+from .operators import items as I
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+LOW_PII = Thresholds(pii=0.1, code=0.1)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return I.from_documents(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# SQL pieces, the same semantics as functions.text.
+_SPLIT = f"regexp_extract_all(text, '[^{T.SPACE}]+')"
+_LINES = f"(CASE WHEN text = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_split_to_array(regexp_replace(text, '(?:{T.LINE_END})\\z', ''), '{T.LINE_END}') END)"
+_ASCII = f"list_distinct(list_filter(regexp_extract_all(lower(text), '{T.WORD}'), lambda w: regexp_matches(w, '^[a-z]+$')))"
+
+
+def _lang(words):
+    return f"len(list_intersect(aw, [{', '.join(repr(w) for w in words)}]))"
+
+
+_GRAMS5 = "list_transform(range(1, greatest(1, len(ws) - 3)), lambda i: array_to_string(ws[i:i + 4], ' '))"
+_PII = " + ".join(f"CAST(regexp_matches(text, '{p}') AS INT)" for p in T.PII_PATTERNS)
+_START = "|".join(s.replace("(", r"\(") for s in T.CODE_STARTS)
+_END = "|".join("\\" + s for s in T.CODE_ENDS)
+_ITEMS = """items AS (SELECT d.doc_id AS id, d.source AS dataset_id, coalesce(d.text, '') AS text, sha256(coalesce(d.text, '')) AS content_hash,
+  length(coalesce(d.text, '')) AS char_count, length(coalesce(d.text, '')) // 4 AS tokens, coalesce(d.lang, 'unknown') AS language,
+  CASE WHEN l.toxic = 1 THEN 'quarantine' WHEN l.quality = 0 THEN 'review' WHEN l.quality = 1 THEN 'keep' ELSE 'pending' END AS decision
+  FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id))"""
+_SCORES = f"""base AS (SELECT *, {_SPLIT} AS ws, {_LINES} AS ls, {_ASCII} AS aw FROM items),
+scores AS (SELECT id, dataset_id, CAST(length(text) AS DOUBLE) AS length,
+  round(CASE WHEN len(ws) < 5 THEN 0.0 ELSE 1 - len(list_distinct({_GRAMS5})) / (len(ws) - 4) END, 6) AS repetition,
+  round(CASE WHEN text = '' THEN 0.0 ELSE least(1.0, len(regexp_extract_all(text, '[!@#$%^&*()]')) / length(text) * 5 + len(regexp_extract_all(text, '\\p{{Lu}}')) / length(text) * 2) END, 6) AS spam_score,
+  round(CASE WHEN len(ls) = 0 THEN 0.0 ELSE len(list_filter(ls, lambda x: regexp_matches(regexp_replace(x, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g'), '^(?:{_START})|(?:{_END})$'))) / len(ls) END, 6) AS code_ratio,
+  round(len(list_intersect(aw, [{', '.join(repr(w) for w in T.OFFENSIVE)}])) / greatest(1, len(aw)), 6) AS toxicity,
+  round(({_PII}) / 5, 6) AS pii_score FROM base)"""
+
+
+def _issue_sql(th: Thresholds) -> str:
+    rules = [("too_short", "length", th.min_length, "<"), ("too_long", "length", th.max_length, ">"), ("repetition", "repetition", th.repetition, ">"), ("spam_score", "spam_score", th.spam, ">"), ("code_ratio", "code_ratio", th.code, ">"), ("toxicity", "toxicity", th.toxicity, ">"), ("pii_score", "pii_score", th.pii, ">")]
+    return "issues AS (" + " UNION ALL ".join(f"SELECT id AS text_id, dataset_id, '{n}' AS issue_type, {c} AS score, CAST({v} AS DOUBLE) AS threshold, 'open' AS status FROM scores WHERE {c} {op} {v}" for n, c, v, op in rules) + ")"
+
+
+_ALL = f"WITH {_ITEMS}, {_SCORES}, {_issue_sql(LOW_PII)}"
+
+
+def _issues(spark, d):
+    return quality.issues(_items(spark, d), LOW_PII)
+
+
+@query(f"""WITH {_ITEMS}, w AS (SELECT *, len({_SPLIT}) AS words FROM items) SELECT count(*) AS items, count(DISTINCT dataset_id) AS sources,
+ {', '.join(f"coalesce(sum({c}), 0)::BIGINT AS total_{n}, coalesce(round(avg({c}), 1), 0) AS avg_{n}, coalesce(min({c}), 0) AS min_{n}, coalesce(max({c}), 0) AS max_{n}" for c, n in (('tokens', 'tokens'), ('char_count', 'chars'), ('words', 'words')))} FROM w""")
+def corpus_stats(spark, d):
+    return I.corpus_stats(I.from_documents(_table(spark, d, "documents")))
+
+
+@query("SELECT coalesce(nullif(lang, ''), 'unknown') AS language, count(*) AS n FROM documents GROUP BY 1")
+def language_counts(spark, d):
+    return I.top_values(I.from_documents(_table(spark, d, "documents")), "language")
+
+
+@query("SELECT coalesce(nullif(source, ''), 'unknown') AS dataset_id, count(*) AS n FROM documents GROUP BY 1")
+def source_counts(spark, d):
+    return I.top_values(I.from_documents(_table(spark, d, "documents")), "dataset_id")
+
+
+@query(f"""WITH {_ITEMS}, base AS (SELECT *, len({_SPLIT}) AS wc, list_transform({_LINES}, lambda x: length(x)) AS ll, {_ASCII} AS aw FROM items)
+SELECT id, char_count, wc AS word_count, len(ll) AS line_count, coalesce(list_max(ll), 0) AS max_line_length, coalesce(list_min(ll), 0) AS min_line_length,
+ contains(text, '<') AND contains(text, '>') AS has_html, tokens,
+ CASE WHEN {_lang(T.EN_WORDS)} >= {_lang(T.PT_WORDS)} AND {_lang(T.EN_WORDS)} >= {_lang(T.ES_WORDS)} THEN 'en' WHEN {_lang(T.PT_WORDS)} >= {_lang(T.ES_WORDS)} THEN 'pt' ELSE 'es' END AS language FROM base""")
+def text_stats(spark, d):
+    t = T.text_of("text")
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), *(c.alias(k) for k, c in T.stats(t).items()))
+
+
+@query(f"WITH {_ITEMS}, {_SCORES} SELECT * FROM scores")
+def quality_scores(spark, d):
+    return quality.scores(_items(spark, d))
+
+
+@query(f"{_ALL} SELECT * FROM issues")
+def quality_issues(spark, d):
+    return _issues(spark, d)
+
+
+@query(f"{_ALL} SELECT issue_type, count(*) AS n FROM issues GROUP BY 1")
+def issues_by_type(spark, d):
+    return quality.by_type(_issues(spark, d))
+
+
+@query(f"""WITH {_ITEMS} SELECT id AS text_id, 'too_short' AS issue_type, 1.0::DOUBLE AS score, 10.0::DOUBLE AS threshold FROM items WHERE char_count < 10
+UNION ALL SELECT id, 'too_long', 1.0::DOUBLE, 4000.0::DOUBLE FROM items WHERE tokens > 4000""")
+def ingest_issues(spark, d):
+    return quality.ingest_issues(_items(spark, d))
+
+
+@query(f"WITH {_ITEMS} SELECT id, dataset_id, char_count, decision FROM items WHERE decision = 'keep' AND char_count >= 1000 AND language = 'en'")
+def items_filtered(spark, d):
+    return I.filtered(_items(spark, d), status="keep", min_length=1000, language="en").select("id", "dataset_id", "char_count", "decision")
+
+
+@query(f"""WITH {_ITEMS} SELECT id, decision FROM items ORDER BY CASE decision WHEN 'pending' THEN 0 WHEN 'review' THEN 1 WHEN 'quarantine' THEN 2 WHEN 'reject' THEN 3 ELSE 4 END, id LIMIT 50 OFFSET 100""")
+def items_paged(spark, d):
+    return I.page(_items(spark, d), 100, 50).select("id", "decision")
+
+
+@query(f"{_ALL} SELECT id, decision FROM items WHERE id IN (SELECT text_id FROM issues WHERE issue_type = 'spam_score')")
+def items_with_issue(spark, d):
+    return I.filtered(_items(spark, d), _issues(spark, d), issue="spam_score").select("id", "decision")
+
+
+@query(f"{_ALL} SELECT i.text_id, i.issue_type, i.score, t.decision, t.char_count FROM issues i LEFT JOIN items t ON t.id = i.text_id")
+def issue_enriched(spark, d):
+    return quality.enriched(_issues(spark, d), _items(spark, d)).select("text_id", "issue_type", "score", "decision", "char_count")
+
+
+@query(f"""{_ALL}, o AS (SELECT text_id, count(*) AS k FROM issues GROUP BY 1), p AS (SELECT dataset_id, coalesce(sum(k), 0)::BIGINT AS open_issues, count_if(decision = 'pending') AS pending FROM items LEFT JOIN o ON o.text_id = id GROUP BY 1)
+SELECT dataset_id, open_issues, pending::BIGINT AS pending, CASE WHEN open_issues > 3 THEN 'flagged' WHEN open_issues > 0 THEN 'review' WHEN pending > 0 THEN 'new' ELSE 'clean' END AS triage FROM p""")
+def dataset_triage(spark, d):
+    return I.triage(_items(spark, d), _issues(spark, d))
+
+
+@query(f"WITH {_ITEMS} SELECT content_hash, count(*) AS members FROM items GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_groups(spark, d):
+    return dedup.exact_groups(_items(spark, d))
+
+
+_EXACT = f"""WITH {_ITEMS}, m AS (SELECT content_hash AS group_id, id AS text_id, row_number() OVER (PARTITION BY content_hash ORDER BY tokens DESC, id) = 1 AS is_canonical, count(*) OVER (PARTITION BY content_hash) AS k FROM items),
+members AS (SELECT group_id, text_id, 1.0::DOUBLE AS similarity, is_canonical FROM m WHERE k > 1)"""
+
+
+@query(f"{_EXACT} SELECT * FROM members")
+def exact_dup_members(spark, d):
+    return dedup.exact_members(_items(spark, d))
+
+
+@query(f"{_EXACT} SELECT id, CASE WHEN id IN (SELECT text_id FROM members WHERE NOT is_canonical) THEN 'quarantine' ELSE decision END AS decision FROM items")
+def quarantine_duplicates(spark, d):
+    items = _items(spark, d)
+    return dedup.quarantine_others(items, dedup.exact_members(items)).select("id", "decision")
+
+
+@query(f"{_EXACT}, c AS (SELECT group_id, text_id AS canonical FROM members WHERE is_canonical) SELECT m.group_id, canonical, m.text_id AS other FROM members m JOIN c USING (group_id) WHERE m.text_id <> canonical")
+def duplicate_review_pairs(spark, d):
+    return dedup.review_pairs(dedup.exact_members(_items(spark, d)))
+
+
+@query()
+def minhash_signatures(spark, d):
+    return _items(spark, d).select("id", dedup.signature(F.col("text")).alias("signature"))
+
+
+@query()
+def near_dup_pairs(spark, d):
+    return dedup.near_pairs(_items(spark, d))
+
+
+@query()
+def near_dup_members(spark, d):
+    return dedup.near_members(_items(spark, d))
+
+
+def _contamination_sql(n):
+    g = "list_transform(range(1, greatest(1, len({t}) - %d)), lambda i: array_to_string({t}[i:i + %d], ' '))" % (n - 2, n - 1)
+    return f"""WITH d AS (SELECT doc_id AS text_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS t FROM documents), b AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS t FROM benchmark),
+bg AS (SELECT DISTINCT unnest({g.format(t='t')}) AS gram FROM b), dg AS (SELECT text_id, len(list_distinct({g.format(t='t')})) AS total_ngrams, unnest(list_distinct({g.format(t='t')})) AS gram FROM d),
+o AS (SELECT text_id, total_ngrams, count(*) AS overlap_ngrams FROM dg JOIN bg USING (gram) GROUP BY 1, 2), s AS (SELECT text_id, total_ngrams, overlap_ngrams, round(overlap_ngrams / total_ngrams, 6) AS overlap FROM o)"""
+
+
+@query(_contamination_sql(10) + " SELECT text_id, overlap_ngrams, total_ngrams, overlap FROM s")
+def contamination_scores(spark, d):
+    return contamination.overlap(_items(spark, d), _table(spark, d, "benchmark")).select("text_id", F.col("overlap_ngrams").cast("long").alias("overlap_ngrams"), F.col("total_ngrams").cast("long").alias("total_ngrams"), "overlap")
+
+
+@query(_contamination_sql(5) + " SELECT text_id, 'contamination' AS issue_type, overlap AS score, 0.05::DOUBLE AS threshold, overlap_ngrams, total_ngrams FROM s WHERE overlap >= 0.05")
+def contamination_issues(spark, d):
+    return contamination.issues(_items(spark, d), _table(spark, d, "benchmark"), n=5)
+
+
+@query(f"""WITH {_ITEMS}, r AS (SELECT *, list_position(['src1', 'src0', 'src2'], dataset_id) AS k FROM items WHERE dataset_id IN ('src1', 'src0', 'src2'))
+SELECT id, dataset_id, content_hash FROM r QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY k, id) = 1""")
+def merge_sources(spark, d):
+    return compose.merge(_items(spark, d), ["src1", "src0", "src2"]).select("id", "dataset_id", "content_hash")
+
+
+@query(f"""WITH {_ITEMS}, a AS (SELECT id, content_hash FROM items WHERE decision = 'keep'), b AS (SELECT id, sha256(lower(text)) AS content_hash FROM items WHERE char_count >= 1000)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.content_hash <> b.content_hash""")
+def version_diff(spark, d):
+    items = _items(spark, d)
+    new = items.where("char_count >= 1000").select("id", F.sha2(F.lower("text"), 256).alias("content_hash"))
+    return versions.diff(items.where("decision = 'keep'"), new)
+
+
+@query(f"""WITH {_ITEMS}, r AS (SELECT dataset_id, sha256(concat_ws('|', id::VARCHAR, content_hash, decision)) AS h FROM items WHERE decision IN ('keep', 'restore')),
+b AS (SELECT dataset_id, h[1:3] AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS k FROM r GROUP BY 1, 2)
+SELECT dataset_id, sum(k)::BIGINT AS item_count, sha256(string_agg(h, '' ORDER BY b)) AS checksum FROM b GROUP BY 1""")
+def version_checksum(spark, d):
+    return versions.checksum(versions.snapshot(_items(spark, d)))
+
+
+@query(f"""WITH {_ITEMS} SELECT id AS item_id, dataset_id, content_hash AS sha256, char_count, tokens, language, decision, 'v1' AS dataset_version, 'local-operator' AS exported_by, '0.1.0' AS pipeline_version FROM items WHERE decision IN ('keep', 'restore')""")
+def export_manifest(spark, d):
+    return versions.manifest(_items(spark, d), "v1")
+
+
+@query(f"""WITH {_ITEMS} SELECT id, CASE WHEN decision IN ('keep', 'restore', 'quarantine') THEN CASE WHEN char_count >= 1000 THEN 'keep' ELSE 'quarantine' END ELSE decision END AS decision FROM items""")
+def restore_decisions(spark, d):
+    items = _items(spark, d)
+    return I.restore(items, items.where("char_count >= 1000")).select("id", "decision")
+
+
+@query(f"""WITH {_ITEMS}, h AS (SELECT id, ('0x' || sha256(id::VARCHAR || '7')[1:13])::BIGINT / 4503599627370496.0 AS h FROM items WHERE decision IN ('keep', 'restore'))
+SELECT id, CASE WHEN h <= 0.8 THEN 0 WHEN h <= 0.9 THEN 1 ELSE 2 END AS part FROM h""")
+def split_assign(spark, d):
+    return compose.split(_items(spark, d), [8, 1, 1], seed=7).select("id", "part")
+
+
+@query(f"WITH {_ITEMS} SELECT id FROM items ORDER BY sha256(id::VARCHAR || '3'), id LIMIT 100")
+def sample_random(spark, d):
+    return compose.sample_random(_items(spark, d), 100, seed=3).select("id")
+
+
+@query(f"""{_ALL}, k AS (SELECT text_id, count(*) AS k FROM issues GROUP BY 1) SELECT id, coalesce(k, 0) AS open_issues FROM items LEFT JOIN k ON id = text_id ORDER BY coalesce(k, 0) DESC, (decision = 'review') DESC, tokens DESC, id LIMIT 100""")
+def sample_important(spark, d):
+    return compose.sample_important(_items(spark, d), _issues(spark, d), 100).select("id", "open_issues")
+
+
+@query()
+def sample_diverse(spark, d):
+    return compose.sample_diverse(_items(spark, d).select("id", "tokens", dedup.signature(F.col("text")).alias("sig")), 50)
+
+
+@query(f"""WITH {_ITEMS}, p AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY sha256(id::VARCHAR || '5'), id) AS r FROM items WHERE dataset_id IN ('src1', 'src2')),
+t AS (SELECT * FROM p WHERE r <= CASE dataset_id WHEN 'src1' THEN 30 ELSE 10 END)
+SELECT id, dataset_id FROM t QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY dataset_id, id) = 1""")
+def mix_sources(spark, d):
+    return compose.mix(_items(spark, d), {"src1": 3.0, "src2": 1.0}, size=40, seed=5).select("id", "dataset_id")
+
+
+def _redact_sql():
+    t = "coalesce(text, '')"
+    for p in T.REDACTIONS:
+        t = f"regexp_replace({t}, '{p}', '{T.MASK}', 'gi')"
+    return f"SELECT doc_id AS id, {t} AS redacted FROM documents"
+
+
+@query(_redact_sql())
+def redact_documents(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.redact(T.text_of("text"))[0].alias("redacted"))
+
+
+@query()
+def privacy_flags(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), N.privacy(F.col("text")).alias("p")).select("id", "p.pii", "p.types", "p.evidence")
+
+
+@query()
+def normalize_pages(spark, d):
+    return _table(spark, d, "pages").select("page_id", N.normalize(F.col("html")).alias("n")).select("page_id", "n.*")
+
+
+@query(r"SELECT page_id, regexp_replace(coalesce(html, ''), '<[^>\n]{1,1000}[^>\n]{0,1000}>', ' ', 'g') AS stripped FROM pages")
+def strip_tags_pages(spark, d):
+    return _table(spark, d, "pages").select("page_id", T.strip_tags(T.text_of("html")).alias("stripped"))
+
+
+_TALKS = """talks AS (SELECT conv_id, count(*) AS turn_count, sum(length(coalesce(text, '')) // 4)::BIGINT AS total_tokens, arg_max(role, turn) AS last_role, arg_min(coalesce(text, ''), turn) AS first_text FROM conversations GROUP BY 1)"""
+
+
+@query(f"WITH {_TALKS} SELECT conv_id, turn_count, total_tokens, last_role, last_role NOT IN ('assistant', 'tool') AS missing_final FROM talks")
+def conversation_summary(spark, d):
+    return records.conversations(_table(spark, d, "conversations")).drop("messages")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
+def conversation_messages(spark, d):
+    talk = records.conversations(_table(spark, d, "conversations"))
+    return talk.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("transcript"))
+
+
+@query(f"""WITH {_ITEMS}, {_TALKS} SELECT 'text-' || id AS id, 'text' AS kind, dataset_id AS title, text[1:120] AS preview, decision AS status, tokens FROM items
+UNION ALL SELECT 'conversation-' || conv_id, 'conversation', 'conversation ' || conv_id, first_text[1:120], CASE WHEN last_role NOT IN ('assistant', 'tool') THEN 'review' ELSE 'pending' END, total_tokens FROM talks""")
+def explorer_union(spark, d):
+    return records.explorer(_items(spark, d), records.conversations(_table(spark, d, "conversations")))
+
+
+@query(f"""WITH {_ITEMS} SELECT 'text-' || id AS id, tokens FROM items WHERE contains(lower(dataset_id || ' ' || text[1:120]), 'the') ORDER BY tokens, dataset_id, 'text-' || id LIMIT 500""")
+def explorer_search(spark, d):
+    both = records.explorer(_items(spark, d), records.conversations(_table(spark, d, "conversations")))
+    return records.search(both, q="the", kind_="text", order="tokens").select("id", "tokens")
+
+
+@query(f"""WITH {_ITEMS} SELECT dataset_id, {', '.join(f"count_if(decision = '{x}')::BIGINT AS {x}" for x in I.DECISIONS)}, count(*) AS total FROM items GROUP BY 1""")
+def decision_counts(spark, d):
+    return I.decision_counts(_items(spark, d))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' ELSE 'good' END AS category FROM labels)
+SELECT category, count(DISTINCT doc_id) AS n, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS ids FROM c WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY 1""")
+def items_by_label(spark, d):
+    c = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("good")
+    got = I.by_label(_items(spark, d), _table(spark, d, "labels").select("doc_id", c.alias("category")))
+    return got.select("category", "n", F.array_join(F.sort_array(F.transform("ids", lambda x: x.cast("string"))), ",").alias("ids"))
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id AS id, list_transform(list_zip(embedding, (SELECT e FROM q)), lambda z: z[1]::DOUBLE * z[2]::DOUBLE) AS p, embedding, (SELECT e FROM q) AS e FROM embeddings)
+SELECT id, round(list_sum(p) / ((sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9) * (sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9)), 6) AS score FROM s ORDER BY score DESC, id LIMIT 10""")
+def vector_search(spark, d):
+    v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.top_k(v, v.orderBy("id").first()["vector"], 10)
+
+
+@query()
+def kmeans_clusters(spark, d):
+    return vectors.clusters(_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+
+
+@query()
+def outliers(spark, d):
+    return vectors.outliers(kmeans_clusters(spark, d))
