@@ -43,6 +43,11 @@ def text_of(col) -> Column:
     return F.coalesce(F.col(col).cast("string") if isinstance(col, str) else col, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once; inside lambdas an expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def words(text: Column) -> Column:
     """Runs between white space."""
     return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))
@@ -61,8 +66,12 @@ def ascii_words(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by blanks; fewer than n tokens give none."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - (n - 1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+
+    def of(t):
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - (n - 1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+
+    return let(tokens, of)
 
 
 def tokens_estimate(text: Column) -> Column:
@@ -71,9 +80,12 @@ def tokens_estimate(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """en, pt or es by stop words; en wins ties, then pt; no hit gives en."""
-    found = ascii_words(text)
-    en, pt, es = (F.size(F.array_intersect(found, F.array(*map(F.lit, w)))) for w in (EN_WORDS, PT_WORDS, ES_WORDS))
-    return F.when((en >= pt) & (en >= es), "en").when(pt >= es, "pt").otherwise("es")
+
+    def of(found):
+        en, pt, es = (F.size(F.array_intersect(found, F.array(*map(F.lit, w)))) for w in (EN_WORDS, PT_WORDS, ES_WORDS))
+        return F.when((en >= pt) & (en >= es), "en").when(pt >= es, "pt").otherwise("es")
+
+    return let(ascii_words(text), of)
 
 
 def stats(text: Column) -> dict[str, Column]:
@@ -92,8 +104,7 @@ def stats(text: Column) -> dict[str, Column]:
 
 def repetition(text: Column) -> Column:
     """Share of repeated word 5-grams."""
-    grams = ngrams(words(text), 5)
-    return F.when(F.size(grams) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
+    return let(ngrams(words(text), 5), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)))
 
 
 def spam(text: Column) -> Column:
@@ -106,13 +117,13 @@ def code_ratio(text: Column) -> Column:
     stripped = F.transform(lines(text), lambda x: F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", ""))
     start = "|".join(s.replace("(", r"\(") for s in CODE_STARTS)
     end = "|".join("\\" + s for s in CODE_ENDS)
-    hits = F.filter(stripped, lambda x: x.rlike(f"^(?:{start})|(?:{end})$"))
-    return F.when(F.size(stripped) == 0, 0.0).otherwise(F.size(hits) / F.size(stripped))
+    hit = lambda x: x.rlike(f"^(?:{start})|(?:{end})$")
+    return let(stripped, lambda s: F.when(F.size(s) == 0, 0.0).otherwise(F.size(F.filter(s, hit)) / F.size(s)))
 
 
 def toxicity(text: Column) -> Column:
-    found = ascii_words(text)
-    return F.size(F.array_intersect(found, F.array(*map(F.lit, OFFENSIVE)))) / F.greatest(F.lit(1), F.size(found))
+    listed = F.array(*map(F.lit, OFFENSIVE))
+    return let(ascii_words(text), lambda w: F.size(F.array_intersect(w, listed)) / F.greatest(F.lit(1), F.size(w)))
 
 
 def pii(text: Column) -> Column:

@@ -69,7 +69,7 @@ def near_pairs(items: DataFrame, threshold: float = 0.7) -> DataFrame:
     pairs with its smallest class only, so pairs stay linear in classes; those suffice for groups.
     """
     reps = items.groupBy("content_hash").agg(F.min("id").alias("id"))
-    rows = items.join(reps, ["content_hash", "id"], "left_semi").select("id", signature(F.col("text")).alias("sig")).where(F.size("sig") > 0)
+    rows = _cut(items.join(reps, ["content_hash", "id"], "left_semi").select("id", signature(F.col("text")).alias("sig"))).where(F.size("sig") > 0)
     bands = rows.select("id", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, slice(sig, b * {ROWS} + 1, {ROWS})))")).alias("band"))
     hubs = bands.groupBy("band").agg(F.min("id").alias("id_a"), F.count("*").alias("k")).where("k > 1").select("band", "id_a")
     pairs = bands.join(hubs, "band").where("id <> id_a").select("id_a", F.col("id").alias("id_b")).distinct()
