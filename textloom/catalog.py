@@ -187,10 +187,14 @@ def near_dup_members(spark, d):
 
 
 def _contamination_sql(n):
-    g = "list_transform(range(1, greatest(1, len({t}) - %d)), lambda i: array_to_string({t}[i:i + %d], ' '))" % (n - 2, n - 1)
-    return f"""WITH d AS (SELECT doc_id AS text_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS t FROM documents), b AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS t FROM benchmark),
-bg AS (SELECT DISTINCT unnest({g.format(t='t')}) AS gram FROM b), dg AS (SELECT text_id, len(list_distinct({g.format(t='t')})) AS total_ngrams, unnest(list_distinct({g.format(t='t')})) AS gram FROM d),
-o AS (SELECT text_id, total_ngrams, count(*) AS overlap_ngrams FROM dg JOIN bg USING (gram) GROUP BY 1, 2), s AS (SELECT text_id, total_ngrams, overlap_ngrams, round(overlap_ngrams / total_ngrams, 6) AS overlap FROM o)"""
+    gram = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER p" for k in range(1, n))])
+
+    def grams(table, key):
+        t = f"regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}')"
+        return f"SELECT DISTINCT {key}, gram FROM (SELECT {key}, {gram} AS gram FROM (SELECT {key}, generate_subscripts({t}, 1) AS i, unnest({t}) AS w FROM {table}) WINDOW p AS (PARTITION BY {key} ORDER BY i)) WHERE gram IS NOT NULL"
+
+    return f"""WITH bg AS (SELECT DISTINCT gram FROM ({grams('benchmark', 'item_id')})), dg AS ({grams('documents', 'doc_id')}), n AS (SELECT doc_id, count(*) AS total_ngrams FROM dg GROUP BY 1),
+o AS (SELECT doc_id, count(*) AS overlap_ngrams FROM dg JOIN bg USING (gram) GROUP BY 1), s AS (SELECT doc_id AS text_id, total_ngrams, overlap_ngrams, round(overlap_ngrams / total_ngrams, 6) AS overlap FROM o JOIN n USING (doc_id))"""
 
 
 @query(_contamination_sql(10) + " SELECT text_id, overlap_ngrams, total_ngrams, overlap FROM s")
