@@ -17,8 +17,8 @@ _SAVED: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of a data folder; rows of 1 000 a batch bound Arrow memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """The parquet table ``name`` of a data folder; 250 rows a batch bound Arrow memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
