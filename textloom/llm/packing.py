@@ -26,7 +26,7 @@ WIDTH = 16
 END_ID = 1
 SEPARATOR = "<|endoftext|>"
 PART = 500_000
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 
 
 class Tokens:
