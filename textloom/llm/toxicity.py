@@ -2,7 +2,8 @@
 
 Severity grades 0, 1, 2 come from the labels: 0 clean, 1 toxic, 2 toxic and of low quality. One weight vector
 serves all ordered thresholds: ``P(grade >= k) = sigmoid(w.x - theta_k)``. Features are the presence of words
-(ASCII punctuation removed, A-Z lowered); an L1 penalty leaves few of them. Expected severity is the sum of
+(ASCII punctuation removed, A-Z lowered); an L1 penalty leaves few of them, and weights are never
+negative, so a text without evidence, also an empty one, scores lowest. Expected severity is the sum of
 ``P(grade >= k)``.
 """
 
@@ -51,7 +52,7 @@ def fit_ordinal(at, grade: np.ndarray, m: int, grades: int, l1: float = 3e-5, st
         g = -(a - b) / p / n
         gt = np.array([(np.where(grade == k, a / p, 0) - np.where(grade == k - 1, b / p, 0)).sum() / n for k in range(1, grades)])
         nw = v - step * linear.times_t(at, g, m)
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * l1, 0)
+        nw = np.maximum(nw - step * l1, 0)
         nth = np.maximum.accumulate(th - gt + np.r_[0, np.full(grades - 2, 1e-9)])
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, th, w, theta, t = nw + (t - 1) / nt * (nw - w), nth, nw, nth, nt
