@@ -2,8 +2,9 @@
 
 Severity grades 0, 1, 2 come from the labels: 0 clean, 1 toxic, 2 toxic and of low quality. One weight vector
 serves all ordered thresholds: ``P(grade >= k) = sigmoid(w.x - theta_k)``. Features are the presence of words
-(ASCII punctuation removed, A-Z lowered); an L1 penalty leaves few of them, and weights are never
-negative, so a text without evidence, also an empty one, scores lowest. Expected severity is the sum of
+(ASCII punctuation removed, A-Z lowered); an L1 penalty leaves few of them. A text is rejected
+only if it also has a strong word, one of at least STRONG of the largest weight, so lacking clean words, as an empty
+text does, is no evidence. Expected severity is the sum of
 ``P(grade >= k)``.
 """
 
@@ -23,6 +24,7 @@ MOST_LABELLED = 8_000
 MOST_WORDS = 50_000
 SCREENED = 4_000
 REJECT = 0.5
+STRONG = 0.3
 
 
 def severity_labels(labels: DataFrame) -> DataFrame:
@@ -52,13 +54,20 @@ def fit_ordinal(at, grade: np.ndarray, m: int, grades: int, l1: float = 3e-5, st
         g = -(a - b) / p / n
         gt = np.array([(np.where(grade == k, a / p, 0) - np.where(grade == k - 1, b / p, 0)).sum() / n for k in range(1, grades)])
         nw = v - step * linear.times_t(at, g, m)
-        nw = np.maximum(nw - step * l1, 0)
+        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * l1, 0)
         nth = np.maximum.accumulate(th - gt + np.r_[0, np.full(grades - 2, 1e-9)])
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, th, w, theta, t = nw + (t - 1) / nt * (nw - w), nth, nw, nth, nt
     return w, theta
 
 
+def _judge(ts: list[bytes], weights: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Linear score of each text and whether it has a strong word."""
+    known, least = weights.keys(), STRONG * max(weights.values(), default=0.0)
+    hits = [[weights[w] for w in known & folded(t)] for t in ts]
+    return np.array([sum(h) for h in hits], float), np.array([least > 0 and max(h, default=0.0) >= least for h in hits], bool)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[bytes, float], np.ndarray]:
     """Word weights and thresholds from at most ``most`` labelled rows; no usable labels: no weights."""
     rows = sample.word_rows(docs.select("doc_id", "text"), sample.chosen(severity_labels(labels), most), sample.folded)
@@ -87,11 +96,10 @@ def score(docs: DataFrame, weights: dict[bytes, float], theta: np.ndarray) -> Da
 
     def run(batches):
         weights, theta = model.value
-        known = weights.keys()
         for batch in batches:
-            z = np.array([sum(map(weights.get, known & folded(t))) for t in texts(batch.column(1))], float)
+            z, strong = _judge(texts(batch.column(1)), weights)
             up = np.round(sigmoid(z[None, :] - theta[:, None]), 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, up), pa.array(np.round(up.sum(axis=0), 6)), pa.array(up[0] >= REJECT)], ["doc_id", "p_toxic", "p_severe", "expected_severity", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, up), pa.array(np.round(up.sum(axis=0), 6)), pa.array((up[0] >= REJECT) & strong)], ["doc_id", "p_toxic", "p_severe", "expected_severity", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, p_toxic double, p_severe double, expected_severity double, rejected boolean")
 
@@ -103,10 +111,9 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         weights, first = model.value
-        known = weights.keys()
         for batch in batches:
-            z = np.array([sum(map(weights.get, known & folded(t))) for t in texts(batch.column("text"))], float)
-            yield batch.filter(pa.array(np.round(sigmoid(z - first), 6) < REJECT))
+            z, strong = _judge(texts(batch.column("text")), weights)
+            yield batch.filter(pa.array(~(strong & (np.round(sigmoid(z - first), 6) >= REJECT))))
 
     return docs.mapInArrow(run, docs.schema)
 
