@@ -113,6 +113,16 @@ def test_packing(spark, texts):
         assert at <= 2048
 
 
+def test_packing_of_letters_in_several_pieces():
+    tok = packing.Tokens(packing.default_tokenizer())
+    for odd in ("\u0130stanbul", "\u095c", "\ufb2a,"):
+        words = ["hello", odd, "river", "stone.", "\u00e9t\u00e9"]
+        got = tok.ids([" ".join(words).encode(), *(w.encode() for w in words)])
+        for t, ids in zip([" ".join(words), *words], got):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.tok.encode(t, add_special_tokens=False).ids, t
+        tok.known, tok.old = {}, {}
+
+
 def test_cutting_stock_holds_demand():
     sizes, demand = np.array([3, 5, 7]), np.array([11, 8, 5])
     plan = packing.cutting_stock(sizes, demand, 16)

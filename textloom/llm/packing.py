@@ -47,7 +47,10 @@ class Tokens:
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode the words, many to a text. Letters with or without one comma or full stop are one or two pieces for
-        the tokenizer, each of which ends in a token marked so; any other word has a special token around it."""
+        the tokenizer, each of which ends in a token marked so; any other word has a special token around it.
+
+        Normalisation may split letters (U+0130, U+095C) into more pieces, never into fewer. Where a run has more ends
+        than expected, its words go the way of the others."""
         plain, other = [], []
         for w in words:
             s = w.decode()
@@ -59,7 +62,11 @@ class Tokens:
         for i in range(0, len(plain), 500):
             run = plain[i : i + 500]
             ids = np.array(self.tok.encode(" ".join([s for _, s, _ in run]), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids])[np.cumsum([k for _, _, k in run]) - 1].tolist()
+            marked, upto = np.flatnonzero(self.ends[ids]), np.cumsum([k for _, _, k in run])
+            if len(marked) != upto[-1]:
+                other += [(w, s) for w, s, _ in run]
+                continue
+            ends = marked[upto - 1].tolist()
             self._keep([w for w, _, _ in run], ids, [-1, *ends], [e + 1 for e in ends])
         for i in range(0, len(other), 500):
             run = other[i : i + 500]
