@@ -174,3 +174,18 @@ def test_context_mixing(spark):
     assert all(got[i].held_out == (i not in train) for i in range(62))
     assert sum(got[i].score for i in held) > 1.05 * sum(got[i].base_score for i in held)
     assert context_mixing.scored(docs(spark, [])).count() == 0
+
+
+def test_context_mixing_uses_the_order_of_words(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        at = rng.randrange(40)
+        texts.append(" ".join(f"word{(at * 7**k) % 41}" for k in range(60)))
+    other = texts[3].split()
+    rng.shuffle(other)
+    ids = [*range(60), next(i for i in range(1000, 2000) if context_mixing.held_out(i))]
+    got = {r.doc_id: r for r in context_mixing.scored(docs(spark, [*texts, " ".join(other)], ids)).collect()}
+    held = [i for i in range(60) if context_mixing.held_out(i)]
+    assert sum(got[i].score for i in held) > 0.5 * sum(got[i].base_score for i in held)
+    assert got[ids[-1]].score < 2 * got[3].score
