@@ -52,6 +52,22 @@ def test_exact_and_near_duplicates(spark):
     assert len(sig[0].s) == 128 and sig[4].s == []
 
 
+def test_near_pairs_compare_all_of_a_bucket(spark, monkeypatch):
+    """1 and 2 are near each other but not near 0, the smallest id of the only bucket that they share."""
+    import numpy as np
+
+    sig = np.arange(4 * 128).reshape(4, 128)
+    sig[1:3, :8] = sig[0, :8]
+    sig[2, 9:] = sig[1, 9:]
+    sig[2, 8::8] += 1000
+    monkeypatch.setattr(dedup, "signature", lambda text: F.array(*(F.element_at(F.array(*(F.lit(int(sig[i, k])).cast("long") for i in range(4))), text.cast("int")) for k in range(128))))
+    df = rows(spark, ["1", "2", "3", "4"])
+    for cell in (1000, 1):
+        monkeypatch.setattr(dedup, "CELL", cell, raising=False)
+        assert [tuple(r) for r in dedup.near_pairs(df).collect()] == [(1, 2, 0.882813)]
+        assert {r.text_id: r.group_id for r in dedup.near_members(df).collect()} == {1: 1, 2: 1}
+
+
 def test_contamination(spark):
     bench = spark.createDataFrame([(1, "One two three four five six seven")], "item_id long, text string")
     df = rows(spark, ["one two three four five six seven", "nothing of that sort is in here at all"])

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ HASHES = 128
 BANDS = 16
 ROWS = 8
 SHINGLE = 5
+CELL = 1_000
 
 
 def exact_groups(items: DataFrame) -> DataFrame:
@@ -63,20 +65,74 @@ def signature(text: Column) -> Column:
 
 
 def near_pairs(items: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(id_a, id_b, jaccard) between distinct texts that share a band of eight values and reach the threshold.
+    """(id_a, id_b, jaccard): all pairs of distinct texts that share a band of eight values and reach the threshold.
 
-    Equal texts are one class, named by its smallest id, and not paired. A band shared by many classes gives star
-    pairs with its smallest class only, so pairs stay linear in classes; those suffice for groups.
+    Equal texts are one class, named by its smallest id, and not paired.
     """
+    return _linked(items, threshold, False)
+
+
+def near_links(items: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Of near_pairs() as many as connect the same texts: a spanning forest of each bucket, linear in its texts."""
+    return _linked(items, threshold, True).distinct()
+
+
+def _linked(items: DataFrame, threshold: float, forest: bool) -> DataFrame:
+    """Compares all classes of each band's bucket. Small buckets share cells; one of more than CELL classes is dealt over
+    a triangular grid of cells. Without ``forest`` a pair is taken in the first band that it shares."""
     reps = items.groupBy("content_hash").agg(F.min("id").alias("id"))
     rows = _cut(items.join(reps, ["content_hash", "id"], "left_semi").select("id", signature(F.col("text")).alias("sig"))).where(F.size("sig") > 0)
-    bands = rows.select("id", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, slice(sig, b * {ROWS} + 1, {ROWS})))")).alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("id").alias("id_a"), F.count("*").alias("k")).where("k > 1").select("band", "id_a")
-    pairs = bands.join(hubs, "band").where("id <> id_a").select("id_a", F.col("id").alias("id_b")).distinct()
-    a, b = rows.select(F.col("id").alias("id_a"), F.col("sig").alias("sa")), rows.select(F.col("id").alias("id_b"), F.col("sig").alias("sb"))
-    both = pairs.join(a, "id_a").join(b, "id_b")
-    est = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x)) / HASHES
-    return both.select("id_a", "id_b", F.round(est, 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    bands = rows.select("id", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, slice(sig, b * {ROWS} + 1, {ROWS})))")).alias("b", "band"))
+    many = bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    shared = _cut(bands.join(many, "band"))
+    cells = max(1, shared.count() // (2 * CELL))
+    side = F.ceil(F.col("k") / CELL)
+    dealt = shared.withColumn("mine", F.pmod(F.xxhash64("id"), side)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), side - 1)))
+    bucket = F.xxhash64("band", F.least("mine", "j"), F.greatest("mine", "j"))
+    cell = F.when(F.col("k") <= CELL, F.pmod(F.xxhash64("band"), F.lit(cells))).otherwise(bucket)
+    dealt = dealt.select(cell.alias("cell"), bucket.alias("bucket"), "b", "mine", (F.col("mine") != F.col("j")).alias("apart"), "id")
+    kind = items.schema["id"].dataType.simpleString()
+    sigs = rows.select("id", F.expr("transform(sig, x -> int(x - 2147483648L))").alias("sig"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("bucket", "ascending"), ("id", "ascending")])
+        ids, at = t["id"].to_pylist(), t["bucket"].to_numpy()
+        sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+        band, mine, apart = t["b"].to_numpy(), t["mine"].to_numpy(), t["apart"].to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]).tolist()
+        out = []
+
+        def share(same):
+            return np.floor(same.mean(axis=1) * 1e6 + 0.5) / 1e6
+
+        def near(i, j):
+            """Those of j (numbers of rows) that reach the threshold with i, and their equal values."""
+            if apart[i]:
+                j = j[mine[j] != mine[i]]
+            same = sig[j] == sig[i]
+            ok = share(same) >= threshold
+            return j[ok], same[ok]
+
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if not forest:
+                for i in range(lo, hi - 1):
+                    j, same = near(i, np.arange(i + 1, hi))
+                    first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]
+                    out += [(i, x, s) for x, s in zip(j[first].tolist(), share(same[first]).tolist())]
+                continue
+            left = np.arange(lo, hi)
+            while len(left) > 1:
+                queue, left = [int(left[0])], left[1:]
+                while queue and len(left):
+                    i = queue.pop()
+                    j, same = near(i, left)
+                    left = left[~np.isin(left, j)]
+                    queue += j.tolist()
+                    out += [(min(i, x), max(i, x), s) for x, s in zip(j.tolist(), share(same).tolist())]
+        ids_type = t.schema.field("id").type
+        return pa.table({"id_a": pa.array([ids[i] for i, _, _ in out], ids_type), "id_b": pa.array([ids[j] for _, j, _ in out], ids_type), "jaccard": pa.array([s for _, _, s in out], pa.float64())})
+
+    return dealt.join(sigs, "id").groupBy("cell").applyInArrow(run, f"id_a {kind}, id_b {kind}, jaccard double")
 
 
 def groups_of(pairs: DataFrame, limit: int = 50) -> DataFrame:
@@ -117,7 +173,7 @@ def _cut(df: DataFrame) -> DataFrame:
 def near_members(items: DataFrame, threshold: float = 0.7) -> DataFrame:
     """group_id, text_id, is_canonical of near-duplicate groups over all items, equal texts included."""
     classes = items.groupBy("content_hash").agg(F.min("id").alias("rep"), F.count("*").alias("k"))
-    linked = groups_of(near_pairs(items, threshold))
+    linked = groups_of(near_links(items, threshold))
     rows = items.join(classes, "content_hash").join(linked, F.col("rep") == linked.text_id, "left")
     rows = rows.where("k > 1 or group_id is not null").select("id", "tokens", F.coalesce("group_id", "rep").alias("group_id"))
     best = rows.groupBy("group_id").agg(F.min_by("id", F.struct(-F.col("tokens"), "id")).alias("best"))
