@@ -85,6 +85,25 @@ def test_compose(spark):
     assert compose.merge(df.union(df), ["b", "a"]).select("content_hash").distinct().count() == 20
 
 
+def test_sample_diverse_sees_all(spark):
+    import numpy as np
+
+    sig = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.pmod(F.xxhash64(F.col("id"), k), 2 + F.col("id") % 40))
+    ids = spark.range(20_500)
+    last = ids.orderBy(F.desc(F.xxhash64("id")), F.desc("id")).first().id
+    table = ids.select("id", F.when(F.col("id") == last, 9).otherwise(F.col("id") % 9).alias("tokens"), sig.alias("sig"), F.xxhash64("id").alias("h"))
+    all_ = table.orderBy("h", "id").collect()
+    sigs, far, want = np.array([r.sig for r in all_]), np.full(len(all_), np.inf), []
+    at = next(i for i, r in enumerate(all_) if r.id == last)
+    for _ in range(12):
+        want.append(all_[at].id)
+        far = np.minimum(far, 1 - (sigs == sigs[at]).mean(axis=1))
+        far[[i for i, r in enumerate(all_) if r.id in want]] = -1
+        at = int(np.argmax(far))
+    got = compose.sample_diverse(table.select("id", "tokens", "sig"), 12)
+    assert [r.id for r in got.orderBy("place").collect()] == want
+
+
 def test_versions(spark):
     df = rows(spark, ["one", "two"])
     snap = versions.snapshot(df)

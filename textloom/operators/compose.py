@@ -5,11 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedup import _cut
 from .items import ACTIVE
 
+POOL = 1_000
+
 
 def new_id(dataset: str):
     return F.sha2(F.concat(F.lit(dataset + "/"), F.col("id").cast("string")), 256)
@@ -64,24 +68,43 @@ def sample_important(items: DataFrame, issues: DataFrame, size: int) -> DataFram
     return rows.orderBy(F.desc("open_issues"), F.desc(F.col("decision") == "review"), F.desc("tokens"), "id").limit(size)
 
 
-def sample_diverse(signatures: DataFrame, size: int, most: int = 20_000) -> DataFrame:
+def sample_diverse(signatures: DataFrame, size: int) -> DataFrame:
     """``size`` ids chosen farthest first by MinHash distance, beginning with the longest text (id, tokens, sig).
 
-    The choice is sequential, so it runs on the driver over ``most`` signatures at most, chosen by hash.
+    Each pass takes every signature's distance to the chosen ones on the executors and brings the POOL farthest to the
+    driver; equals go by a hash of the id. Distances only fall, so the pool's first is the first of all as long as it
+    comes before the pool's last at the time of the pass.
     """
-    rows = signatures.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "tokens", "sig").where(F.size("sig") > 0).toArrow()
     spark = signatures.sparkSession
-    ids, tokens = rows["id"].to_pylist(), np.array(rows["tokens"].to_pylist())
-    sig = np.array(rows["sig"].to_pylist(), np.int64)
-    chosen: list[int] = []
-    far = np.full(len(ids), np.inf)
-    at = int(np.lexsort((ids, -tokens))[0]) if ids else -1
-    while ids and len(chosen) < min(size, len(ids)):
-        chosen.append(at)
-        far = np.minimum(far, 1 - (sig == sig[at]).mean(axis=1))
-        far[chosen] = -1
-        at = int(np.argmax(far))
-    return spark.createDataFrame([(ids[i], k) for k, i in enumerate(chosen)], "id long, place int")
+    rows = _cut(signatures.select(F.col("id").cast("long").alias("id"), "tokens", "sig", F.xxhash64("id").alias("h"))).where(F.size("sig") > 0)
+    first = rows.orderBy(F.desc("tokens"), "id").limit(1).collect() if size > 0 else []
+    ids, sigs = [r.id for r in first], [np.array(r.sig, np.int64) for r in first]
+
+    def distances(batches):
+        for batch in batches:
+            sig = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, -1)
+            far = np.full(batch.num_rows, np.inf)
+            for s in sigs:
+                far = np.minimum(far, 1 - (sig == s).mean(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(far), *(batch.column(c) for c in ("h", "id", "sig"))], ["far", "h", "id", "sig"])
+
+    while ids and len(ids) < size:
+        some = rows.where(~F.col("id").isin(ids)).select("id", "h", "sig").mapInArrow(distances, "far double, h long, id long, sig array<long>")
+        pool = some.orderBy(F.desc("far"), "h", "id").limit(POOL).collect()
+        if not pool:
+            break
+        far, sig = np.array([r.far for r in pool]), np.array([r.sig for r in pool], np.int64)
+        last = (-pool[-1].far, pool[-1].h, pool[-1].id) if len(pool) == POOL else (np.inf,)
+        left = set(range(len(pool)))
+        while left and len(ids) < size:
+            at = min(left, key=lambda i: (-far[i], pool[i].h, pool[i].id))
+            if (-far[at], pool[at].h, pool[at].id) > last:
+                break
+            left.remove(at)
+            ids.append(pool[at].id)
+            sigs.append(sig[at])
+            far = np.minimum(far, 1 - (sig == sig[at]).mean(axis=1))
+    return spark.createDataFrame([(x, k) for k, x in enumerate(ids)], "id long, place int")
 
 
 def quotas(sizes: dict[str, int], weights: dict[str, float], size: int = 0) -> dict[str, int]:
