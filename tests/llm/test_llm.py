@@ -48,6 +48,47 @@ def test_join_equals_brute_force(spark, texts):
         assert got == {i: (len(x), comp[i]) for i, x in enumerate(s)}
 
 
+def brute_components(s):
+    comp = list(range(len(s)))
+    for i, j in itertools.combinations(range(len(s)), 2):
+        if s[i] and s[j] and comp[i] != comp[j] and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]):
+            a, b = sorted((comp[i], comp[j]))
+            comp = [a if c == b else c for c in comp]
+    return comp
+
+
+@pytest.mark.parametrize("block", [500_000, 900])
+def test_join_of_a_large_family_equals_brute_force(spark, monkeypatch, block):
+    """Near copies of one text, many not similar to it but to each other, and chains of edits, over one or many cells."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FAMILY", 7)
+    rng = random.Random(5)
+    base, chain, far = sentence(rng, 60).split(), [], []
+    for _ in range(40):
+        chain.append(" ".join(base))
+        k = rng.randrange(0, 56)
+        base[k : k + 2] = sentence(rng, 2).split()
+    for _ in range(25):
+        words = chain[0].split()
+        for _ in range(4):
+            words[rng.randrange(60)] = rng.choice(["new", "other", "third"])
+        far += [" ".join(words), " ".join([*words, "tail"]), " ".join(words[: rng.randrange(45, 60)])]
+    all_texts = [*chain, *far, *(sentence(rng, 30) + " " + chain[0] for _ in range(10))]
+    rng.shuffle(all_texts)
+    s = [shingles(t) for t in all_texts]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.class_components(docs(spark, all_texts)).collect()}
+    assert got == {i: (len(x), c) for i, (x, c) in enumerate(zip(s, brute_components(s)))}
+
+
+def test_join_of_a_repeated_id(spark):
+    """Rows of one id with different texts are judged each by its own text."""
+    rng = random.Random(3)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    rows = ngram_join.class_components(docs(spark, [a, b, b + " end", a, None, None], [7, 7, 9, 3, 7, 7])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (7, 3), (7, 7), (7, 7), (7, 7), (9, 7)]
+    assert len({r.text_key for r in rows if r.doc_id == 7}) == 3
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.class_components(docs(spark, [])).count() == 0
 
