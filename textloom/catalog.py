@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .config import Thresholds
 from .functions import normalize as N
 from .functions import text as T
-from .operators import compose, contamination, dedup, quality, records, vectors, versions
+from .operators import compose, contamination, dedup, quality, records, review, rewrite, store, vectors, versions
 from .operators import items as I
 
 QUERIES: dict = {}
@@ -311,10 +311,163 @@ def conversation_messages(spark, d):
 @query(f"""WITH {_ITEMS}, {_TALKS} SELECT 'text-' || id AS id, 'text' AS kind, dataset_id AS title, text[1:120] AS preview, decision AS status, tokens FROM items
 UNION ALL SELECT 'conversation-' || conv_id, 'conversation', 'conversation ' || conv_id, first_text[1:120], CASE WHEN last_role NOT IN ('assistant', 'tool') THEN 'review' ELSE 'pending' END, total_tokens FROM talks""")
 def explorer_union(spark, d):
-    return records.explorer(_items(spark, d), records.conversations(_table(spark, d, "conversations")))
+    both = records.explorer(_items(spark, d), records.conversations(_table(spark, d, "conversations")))
+    return both.select("id", "kind", "title", "preview", "status", "tokens")
+
+
+def _training(spark, d):
+    """Preference pairs, SFT records and traces made of the conversations, as the SQL below makes them."""
+    talks = records.conversations(_table(spark, d, "conversations"))
+    says = lambda role: F.transform(F.filter("messages", lambda m: m["role"] == role), lambda m: m["content"])
+    rows = talks.select(F.col("conv_id").alias("id"), "messages", says("user").alias("u"), says("assistant").alias("a"), "last_role")
+    pairs = rows.where("size(u) > 0 and size(a) > 1").select("id", F.get("u", F.lit(0)).alias("prompt"), F.get("a", F.lit(0)).alias("chosen"), F.try_element_at("a", F.lit(-1)).alias("rejected"), F.when(F.col("id") % 3 == 0, "approved").when(F.col("id") % 3 == 1, "rejected").otherwise("pending").alias("status"))
+    sft = rows.where("size(u) > 0 and size(a) > 0").select("id", F.transform(F.array(F.get("u", F.lit(0)), F.get("a", F.lit(0))), lambda c: F.struct(c.alias("content"))).alias("messages"), F.lit("pending").alias("status"))
+    steps = F.transform("messages", lambda m: m["content"])
+    traces = rows.where("id % 2 = 0").select("id", F.to_json(F.struct(steps.alias("steps"), F.struct(F.col("last_role").alias("final_role")).alias("end"))).alias("trace"), (F.col("last_role") == "assistant").alias("success"), F.when(F.col("id") % 7 == 0, "timeout").alias("error"))
+    return talks, pairs, sft, traces
+
+
+_KINDS = """t AS (SELECT conv_id AS id, coalesce(role, 'user') AS role, coalesce(text, '') AS text, turn FROM conversations),
+g AS (SELECT id, count(*) FILTER (role = 'user') AS us, count(*) FILTER (role = 'assistant') AS asst, arg_min(text, turn) FILTER (role = 'user') AS u, arg_min(text, turn) FILTER (role = 'assistant') AS a, arg_max(text, turn) FILTER (role = 'assistant') AS z,
+ arg_max(role, turn) AS last_role, string_agg(text, ' ' ORDER BY turn) AS said FROM t GROUP BY 1),
+pairs AS (SELECT 'preference-' || id AS id, 'preference' AS kind, u[1:240] AS preview, CASE id % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' ELSE 'review' END AS status, length(u) // 4 + length(a) // 4 + length(z) // 4 AS tokens, NULL::BOOLEAN AS has_tools, NULL::BOOLEAN AS missing_final, u || ' ' || a || ' ' || z AS body FROM g WHERE us > 0 AND asst > 1),
+sft AS (SELECT 'sft-' || id AS id, 'sft' AS kind, (u || ' ' || a)[1:240] AS preview, 'pending' AS status, length(u) // 4 + length(a) // 4 AS tokens, NULL::BOOLEAN AS has_tools, NULL::BOOLEAN AS missing_final, u || ' ' || a AS body FROM g WHERE us > 0 AND asst > 0),
+tr AS (SELECT *, said || ' ' || last_role AS b FROM g WHERE id % 2 = 0),
+traces AS (SELECT 'trace-' || id AS id, 'trace' AS kind, b[1:240] AS preview, CASE WHEN last_role = 'assistant' THEN 'keep' ELSE 'review' END AS status, NULL::BIGINT AS tokens, contains(lower(b), 'tool_call') OR contains(lower(b), 'function') AS has_tools,
+ last_role <> 'assistant' OR id % 7 = 0 OR NOT contains(lower(b), 'final') AS missing_final, b AS body FROM tr),
+kinds AS (SELECT * FROM pairs UNION ALL SELECT * FROM sft UNION ALL SELECT * FROM traces)"""
+
+
+@query(f"WITH {_KINDS} SELECT id, kind, preview, status, CASE WHEN kind = 'trace' THEN 0 ELSE tokens END AS tokens, has_tools, missing_final FROM kinds")
+def explorer_kinds(spark, d):
+    _, pairs, sft, traces = _training(spark, d)
+    rows = records.explorer(pairs=pairs, sft=sft, traces=traces, preview=240)
+    return rows.select("id", "kind", "preview", "status", F.when(F.col("kind") == "trace", 0).otherwise(F.col("tokens")).alias("tokens"), "has_tools", "missing_final")
+
+
+@query(f"WITH {_KINDS} SELECT id, status FROM kinds WHERE contains(lower(body), 'an') ORDER BY CASE status WHEN 'review' THEN 0 WHEN 'pending' THEN 2 WHEN 'keep' THEN 3 ELSE 4 END, kind || ' ' || split_part(id, '-', 2), id LIMIT 100 OFFSET 10")
+def explorer_payload(spark, d):
+    _, pairs, sft, traces = _training(spark, d)
+    rows = records.explorer(pairs=pairs, sft=sft, traces=traces, preview=240)
+    return records.search(rows, q=" AN ", order="pending_first", limit=100, offset=10).select("id", "status")
+
+
+@query(f"WITH {_KINDS} SELECT id FROM kinds WHERE kind = 'trace' AND missing_final ORDER BY 'trace ' || split_part(id, '-', 2), id LIMIT 500")
+def explorer_unfinished(spark, d):
+    _, pairs, sft, traces = _training(spark, d)
+    return records.search(records.explorer(pairs=pairs, sft=sft, traces=traces), missing_final=True, order="name").select("id")
+
+
+@query(f"""WITH {_ITEMS}, b AS (SELECT id, {_SPLIT} AS ws FROM items), g AS (SELECT id, CASE WHEN len(ws) < 5 THEN [] ELSE {_GRAMS5} END AS g FROM b)
+SELECT id, len(list_distinct(g)) AS unique_grams, len(g) AS total_grams, CASE WHEN len(g) = 0 THEN 0.0 ELSE round(1 - len(list_distinct(g)) / len(g), 3) END AS repetition_score FROM g""")
+def repetition_stats(spark, d):
+    return _items(spark, d).select("id", T.repetition_stats(F.col("text")).alias("r")).select("id", "r.*")
+
+
+@query(f"{_ALL} SELECT text_id, score FROM issues WHERE issue_type = 'spam_score' AND status = 'open' AND dataset_id = 'src1' ORDER BY score DESC, text_id LIMIT 50")
+def issues_worst(spark, d):
+    return review.worst(review.listed(_issues(spark, d), "spam_score", "open", "src1"), 50).select("text_id", "score")
+
+
+@query(f"{_ALL} SELECT issue_type, text_id, score, row_number() OVER (PARTITION BY issue_type ORDER BY score DESC, text_id) AS place, count(*) OVER (PARTITION BY issue_type) AS of_type FROM issues QUALIFY place <= 20")
+def issues_ranked(spark, d):
+    return review.ranked(_issues(spark, d), 20).select("issue_type", "text_id", "score", F.col("place").cast("long").alias("place"), "of_type")
+
+
+@query(f"{_EXACT}, x AS (SELECT DISTINCT text_id FROM members WHERE NOT is_canonical) SELECT dataset_id, count(*) AS total, count_if(decision = 'pending')::BIGINT AS pending, round(100 * count_if(decision = 'keep') / count(*), 1) AS keep_pct, round(100 * count(x.text_id) / count(*), 1) AS savings_pct FROM items LEFT JOIN x ON x.text_id = id GROUP BY 1")
+def dataset_shares(spark, d):
+    items = _items(spark, d)
+    return review.shares(items, dedup.exact_members(items))
+
+
+@query(f"WITH {_ITEMS} SELECT count(*) AS n FROM items WHERE decision = 'review' AND char_count >= 200")
+def filtered_count(spark, d):
+    return I.filtered(_items(spark, d), status="review", min_length=200).agg(F.count("*").alias("n"))
+
+
+@query(f"""{_ALL} SELECT i.text_id, i.issue_type, CASE WHEN i.text_id % 3 = 0 THEN 'dismissed' WHEN i.text_id % 3 = 1 THEN 'acknowledged' ELSE 'open' END AS status, CASE WHEN i.text_id % 3 < 2 THEN 'local' END AS reviewed_by FROM issues i""")
+def issues_acknowledged(spark, d):
+    rows = _issues(spark, d).withColumn("id", F.concat_ws("/", F.col("text_id").cast("string"), "issue_type"))
+    state = F.when(F.col("text_id") % 3 == 0, "dismissed").otherwise("acknowledged")
+    acks = rows.where("text_id % 3 < 2").select("id", state.alias("status"), F.lit("local").alias("reviewed_by"), F.lit(None).cast("timestamp").alias("reviewed_at"))
+    return review.acknowledge(rows, acks).select("text_id", "issue_type", "status", "reviewed_by")
+
+
+_LABELS = "l AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1)"
+
+
+@query(f"""WITH {_LABELS}, old AS (SELECT 'a' || doc_id AS id, doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'low' END AS category, CASE WHEN toxic = 1 THEN 'rejected' ELSE 'approved' END AS status, toxic = 1 OR doc_id % 2 = 0 AS gone FROM l),
+new AS (SELECT 'b' || doc_id AS id, doc_id, 'second' AS category, CASE WHEN doc_id % 4 = 0 THEN 'approved' ELSE 'pending' END AS status, false AS gone FROM l WHERE toxic = 1 OR doc_id % 2 = 0)
+SELECT * FROM old UNION ALL SELECT * FROM new""")
+def label_lifecycle(spark, d):
+    l = _table(spark, d, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    start = l.select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), "doc_id", F.lit("new").alias("category"), F.lit("human").alias("source_type"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("supersedes_id"), F.lit("approved").alias("status"), F.lit(None).cast("timestamp").alias("superseded_at"))
+    names = l.select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("quality") == 1, " good ").otherwise("low").alias("category"))
+    state, _ = review.review_labels(review.rename_labels(start, names), l.where("toxic = 1").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), F.lit("rejected").alias("status"), F.lit(None).cast("string").alias("reviewer"), F.lit(None).cast("string").alias("comment")))
+    fresh = l.where("toxic = 1 or doc_id % 2 = 0").select(F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("id"), "doc_id", F.lit("second").alias("category"), F.when(F.col("doc_id") % 4 == 0, "human").otherwise("model").alias("source_type"), F.lit(0.5).alias("confidence"), F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("supersedes_id"))
+    done = review.add_labels(state, fresh, F.lit("2024-01-01").cast("timestamp"))
+    return done.select("id", "doc_id", "category", "status", F.col("superseded_at").isNotNull().alias("gone"))
+
+
+@query(f"""{_ALL}, parts AS (SELECT 'items' AS name, count(*) AS n FROM items WHERE dataset_id <> 'src1' UNION ALL SELECT 'issues', count(*) FROM issues WHERE dataset_id <> 'src1'
+UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id IS NULL OR doc_id NOT IN (SELECT id FROM items WHERE dataset_id = 'src1')) SELECT * FROM parts""")
+def dataset_deleted(spark, d):
+    items = _items(spark, d)
+    left = store.without_dataset({"items": items, "issues": _issues(spark, d), "labels": _table(spark, d, "labels")}, "src1")
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY 1), n AS (SELECT conv_id, k AS turn, 'user' AS role, 'more' AS text FROM c WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, k + 1, 'assistant', 'done' FROM c WHERE conv_id % 2 = 0)
+SELECT conv_id, turn::BIGINT AS turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, role, text FROM n""")
+def turns_appended(spark, d):
+    turns = _table(spark, d, "conversations")
+    some = turns.where("conv_id % 2 = 0").select("conv_id").distinct()
+    new = some.select("conv_id", F.explode(F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(r).alias("role"), F.lit(t).alias("text")) for k, (r, t) in enumerate((("user", "more"), ("assistant", "done")))))).alias("m")).select("conv_id", "m.*")
+    return store.append_turns(turns, new).withColumn("turn", F.col("turn").cast("long"))
+
+
+@query(f"""WITH {_ITEMS}, s AS (SELECT id, decision FROM items WHERE decision IN ('keep', 'restore')), l AS (SELECT doc_id AS id, string_agg(CASE quality WHEN 1 THEN 'good' ELSE 'low' END, ',' ORDER BY CASE quality WHEN 1 THEN 'good' ELSE 'low' END) AS labels FROM labels GROUP BY 1)
+SELECT i.id AS item_id, i.content_hash AS sha256, i.char_count, s.decision, coalesce(l.labels, '') AS labels, 'v1' AS dataset_version FROM items i JOIN s ON s.id = i.id LEFT JOIN l ON l.id = i.id WHERE i.char_count >= 100""")
+def export_version(spark, d):
+    items = _items(spark, d)
+    labels = _table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("low").alias("category"))
+    live = items.where("char_count >= 100").withColumn("decision", F.lit("pending"))
+    rows = versions.export_snapshot(live, versions.snapshot(items, labels), "v1")
+    return rows.select("item_id", "sha256", "char_count", "decision", F.array_join("labels", ",").alias("labels"), "dataset_version")
+
+
+def _redactions_sql():
+    t, parts = "coalesce(text, '')", []
+    for p in T.REDACTIONS:
+        parts.append(f"len(regexp_extract_all({t}, '(?i){p}'))")
+        t = f"regexp_replace({t}, '{p}', '{T.MASK}', 'gi')"
+    return f"WITH {_ITEMS} SELECT id, ({' + '.join(parts)})::BIGINT AS substitutions, sha256({t}) AS content_hash, length({t}) AS char_count FROM items WHERE decision IN ('keep', 'restore')"
+
+
+@query(_redactions_sql())
+def redact_job(spark, d):
+    return rewrite.redacted(_items(spark, d)).select("id", "substitutions", "content_hash", "char_count")
+
+
+def _spaced_sql(text):
+    inner = T.SPACE.replace(r"\x09-\x0d", r"\x09\x0b-\x0d")
+    for p, to in ((r"\r\n?", "chr(10)"), (r"\A\x{feff}+", "''"), (N.BLANKS, "' '"), (rf"[{inner}]+\n", "chr(10)"), (rf"[{inner}]+\z", "''"), (r"\n{3,}", "chr(10) || chr(10)"), (rf"\A[{T.SPACE}]+|[{T.SPACE}]+\z", "''")):
+        text = f"regexp_replace({text}, '{p}', {to}, 'g')"
+    return text
+
+
+@query(f"SELECT page_id, {_spaced_sql("coalesce(html, '')")} AS spaced FROM pages")
+def spaced_pages(spark, d):
+    return _table(spark, d, "pages").select("page_id", N.collapse_whitespace(T.text_of("html")).alias("spaced"))
+
+
+@query()
+def normalize_job(spark, d):
+    return rewrite.counters(rewrite.normalized(_items(spark, d)))
 
 
-@query(f"""WITH {_ITEMS} SELECT 'text-' || id AS id, tokens FROM items WHERE contains(lower(dataset_id || ' ' || text[1:120]), 'the') ORDER BY tokens, dataset_id, 'text-' || id LIMIT 500""")
+@query(f"""WITH {_ITEMS} SELECT 'text-' || id AS id, tokens FROM items WHERE contains(lower(dataset_id || ' ' || text), 'the') ORDER BY tokens, lower(dataset_id), 'text-' || id LIMIT 500""")
 def explorer_search(spark, d):
     both = records.explorer(_items(spark, d), records.conversations(_table(spark, d, "conversations")))
     return records.search(both, q="the", kind_="text", order="tokens").select("id", "tokens")

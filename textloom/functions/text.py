@@ -74,6 +74,16 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, of)
 
 
+def word_hashes(text: Column, n: int) -> Column:
+    """64-bit hashes of all runs of n words; fewer words give none."""
+
+    def of(h):
+        starts = F.when(F.size(h) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - (n - 1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i - 1 + k) for k in range(n))))
+
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
+
+
 def tokens_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("long")
 
@@ -104,7 +114,32 @@ def stats(text: Column) -> dict[str, Column]:
 
 def repetition(text: Column) -> Column:
     """Share of repeated word 5-grams."""
-    return let(ngrams(words(text), 5), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)))
+    return let(word_hashes(text, 5), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)))
+
+
+def repetition_stats(text: Column) -> Column:
+    """Struct of repetition_score (three places), unique_grams and total_grams of word 5-grams; fewer words give zeros."""
+
+    def of(g):
+        total, unique = F.size(g), F.size(F.array_distinct(g))
+        score = F.when(total == 0, 0.0).otherwise(F.round(1 - unique / total, 3))
+        return F.struct(score.alias("repetition_score"), unique.cast("long").alias("unique_grams"), total.cast("long").alias("total_grams"))
+
+    return let(word_hashes(text, 5), of)
+
+
+def evidence_spans(text: Column, fragments: Column, most: int = 24) -> Column:
+    """Array of (st, en): where fragments of 4 to 120 characters first occur, ``most`` at most, none that overlaps an
+    earlier one; positions in code points, end exclusive."""
+    usable = F.filter(fragments, lambda f: F.length(f).between(4, 120))
+    at = F.filter(F.transform(usable, lambda f: F.struct((F.instr(text, f) - 1).alias("st"), (F.instr(text, f) - 1 + F.length(f)).alias("en"))), lambda x: x["st"] >= 0)
+    none = F.array().cast("array<struct<st:int,en:int>>")
+
+    def add(s, x):
+        clash = F.exists(s, lambda b: (b["st"] < x["en"]) & (x["st"] < b["en"]))
+        return F.when(clash | (F.size(s) >= most), s).otherwise(F.concat(s, F.array(x)))
+
+    return F.aggregate(F.array_sort(at), none, add)
 
 
 def spam(text: Column) -> Column:

@@ -56,9 +56,26 @@ def split(items: DataFrame, ratios: list[float], seed: int = 0) -> DataFrame:
     return items.where(F.col("decision").isin(*ACTIVE)).withColumn("part", part)
 
 
+def first_by_hash(items: DataFrame, size: int, seed: int) -> DataFrame:
+    """The ``size`` items that are first in the order of their seeded hash and id, without gathering them in one task.
+
+    Counts by the hash's first four digits tell which digits are wholly in; only rows of the digits at the boundary are sorted.
+    """
+    if size <= 0:
+        return items.limit(0)
+    head = F.substring(order_hash(seed), 1, 4)
+    counts = sorted(items.groupBy(head.alias("b")).agg(F.count("*").alias("n")).collect())
+    taken = 0
+    for b, n in counts:
+        if taken + n > size:
+            return items.where(head < b).unionByName(items.where(head == b).orderBy(order_hash(seed), "id").limit(size - taken))
+        taken += n
+    return items
+
+
 def sample_random(items: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """``size`` items in the order of their seeded hash."""
-    return items.orderBy(order_hash(seed), "id").limit(size)
+    """``size`` items, the first in the order of their seeded hash."""
+    return first_by_hash(items, size, seed)
 
 
 def sample_important(items: DataFrame, issues: DataFrame, size: int) -> DataFrame:
@@ -127,7 +144,7 @@ def mix(items: DataFrame, weights: dict[str, float], size: int = 0, seed: int =
     have = {r[0]: r[1] for r in rows.groupBy("dataset_id").count().collect()}
     if missing := [s for s in names if not have.get(s)]:
         raise ValueError(f"no items in {missing}")
-    parts = [rows.where(F.col("dataset_id") == s).orderBy(order_hash(seed), "id").limit(q) for s, q in quotas(have, weights, size).items() if q]
+    parts = [first_by_hash(rows.where(F.col("dataset_id") == s), q, seed) for s, q in quotas(have, weights, size).items() if q]
     taken = parts[0]
     for p in parts[1:]:
         taken = taken.unionByName(p)

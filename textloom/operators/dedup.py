@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ BANDS = 16
 ROWS = 8
 SHINGLE = 5
 CELL = 1_000
+WIDTH = 512
+KNOWN = 3_000_000
 
 
 def exact_groups(items: DataFrame) -> DataFrame:
@@ -32,6 +35,44 @@ def exact_members(items: DataFrame) -> DataFrame:
     return rows.select(F.col("content_hash").alias("group_id"), F.col("id").alias("text_id"), F.lit(1.0).alias("similarity"), (F.col("id") == F.col("best")).alias("is_canonical"))
 
 
+class _Grams:
+    """Hashes of the distinct 5-character shingles of texts, remembered as sorted arrays of at most KNOWN entries."""
+
+    def __init__(self):
+        self.keys, self.hashes = np.empty(0, np.uint64), np.empty(0, np.uint32)
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        found = []
+        for t in texts:
+            at = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            n = max(0, len(at) - SHINGLE + 1)
+            key = np.zeros(n, np.uint64)
+            if at.max(initial=0) < 1 << 12:
+                for k in range(SHINGLE):
+                    key = key << np.uint64(12) | at[k : k + n]
+            else:
+                for k in range(SHINGLE):
+                    key = (key ^ at[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                key |= np.uint64(1 << 63)
+            found.append(np.unique(key, return_index=True))
+        keys = np.concatenate([k for k, _ in found]) if found else self.keys
+        new, first = np.unique(keys, return_index=True)
+        at = np.minimum(np.searchsorted(self.keys, new), max(len(self.keys) - 1, 0))
+        fresh = self.keys[at] != new if len(self.keys) else np.ones(len(new), bool)
+        new, first = new[fresh], first[fresh]
+        starts = np.cumsum([0, *(len(k) for k, _ in found)])
+        row = np.searchsorted(starts, first, "right") - 1
+        places = np.concatenate([i for _, i in found])[first] if len(first) else first
+        grams = [texts[r][i : i + SHINGLE] for r, i in zip(row.tolist(), places.tolist())]
+        hashes = np.array([int.from_bytes(hashlib.sha256(g.encode("utf-8", "surrogatepass")).digest()[4:8], "big") for g in grams], np.uint32)
+        every, values = np.concatenate([self.keys, new]), np.concatenate([self.hashes, hashes])
+        by = np.argsort(every, kind="stable")
+        every, values = every[by], values[by]
+        self.keys, self.hashes = (every, values) if len(every) <= KNOWN else (self.keys[:0], self.hashes[:0])
+        return [values[np.searchsorted(every, k)] for k, _ in found]
+
+
 def signature(text: Column) -> Column:
     """128 minima of the family ``((7919 i + 31) h + 6271 i + 17) mod 2^32`` over 5-character shingles; [] below 5.
 
@@ -39,27 +80,23 @@ def signature(text: Column) -> Column:
     """
 
     @F.pandas_udf("array<long>")
-    def run(s: pd.Series) -> pd.Series:
-        i = np.arange(HASHES, dtype=np.uint64)[:, None]
-        a, b = i * np.uint64(7919) + np.uint64(31), i * np.uint64(6271) + np.uint64(17)
-        seen: dict[str, int] = {}
-        out = []
-        for t in s:
-            t = (t or "").replace("\n", " ").replace("\t", " ")
-            grams = {t[k : k + SHINGLE] for k in range(len(t) - SHINGLE + 1)}
-            if not grams:
-                out.append([])
-                continue
-            if len(seen) > 300_000:
-                seen.clear()
-            for g in grams - seen.keys():
-                seen[g] = int.from_bytes(hashlib.sha256(g.encode()).digest()[4:8], "big")
-            h = np.array([seen[g] for g in grams], np.uint64)
-            low = np.full(HASHES, 2**32, np.uint64)
-            for k in range(0, len(h), 4096):
-                low = np.minimum(low, ((a * h[None, k : k + 4096] + b) & np.uint64(0xFFFFFFFF)).min(axis=1))
-            out.append(low.astype(np.int64).tolist())
-        return pd.Series(out)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        i = np.arange(HASHES, dtype=np.uint32)[:, None]
+        a, b = i * np.uint32(7919) + np.uint32(31), i * np.uint32(6271) + np.uint32(17)
+        grams, work = _Grams(), np.empty((HASHES, WIDTH), np.uint32)
+        for s in parts:
+            texts, out = [(t or "").replace("\n", " ").replace("\t", " ") for t in s], []
+            for lo in range(0, len(texts), 100):
+                for h in grams.of(texts[lo : lo + 100]):
+                    low = np.full(HASHES, 2**32 - 1, np.uint32)
+                    for k in range(0, len(h), WIDTH):
+                        part = h[None, k : k + WIDTH]
+                        v = work[:, : part.shape[1]]
+                        np.multiply(a, part, out=v)
+                        v += b
+                        np.minimum(low, v.min(axis=1), out=low)
+                    out.append(low.astype(np.int64).tolist() if len(h) else [])
+            yield pd.Series(out)
 
     return run(text)
 

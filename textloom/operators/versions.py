@@ -45,6 +45,25 @@ def manifest(items: DataFrame, version: str = "") -> DataFrame:
     )
 
 
+def export_snapshot(items: DataFrame, snap: DataFrame, version: str) -> DataFrame:
+    """Export rows of a version: live items that its snapshot has, with the snapshot's decision and labels, in its order."""
+    old = snap.select("id", F.col("decision").alias("_then"), F.col("labels").alias("labels"))
+    rows = items.join(old, "id").withColumn("decision", F.col("_then")).drop("_then")
+    return rows.select(F.col("id").alias("item_id"), "dataset_id", F.col("content_hash").alias("sha256"), "char_count", "tokens", "language", "decision", "labels", F.lit(version).alias("dataset_version")).orderBy("item_id")
+
+
+def manifest_lines(snap: DataFrame) -> DataFrame:
+    """One JSON line per snapshot row, and its hash: the version's manifest file."""
+    line = F.to_json(F.struct("id", "content_hash", "decision", "labels"))
+    return snap.select("id", line.alias("line"), F.sha2(line, 256).alias("sha256")).orderBy("id")
+
+
+def chained(versions: DataFrame, new: DataFrame) -> DataFrame:
+    """versions (version_id, dataset_id, created_at, parent_id) with new ones, whose parent is their dataset's latest."""
+    last = versions.groupBy("dataset_id").agg(F.max_by("version_id", F.struct("created_at", "version_id")).alias("parent_id"))
+    return versions.unionByName(new.drop("parent_id").join(last, "dataset_id", "left").select(*versions.columns))
+
+
 def strict_licenses(items: DataFrame) -> None:
     """An error if an active item's license is unknown."""
     bad = items.where(F.col("decision").isin(*ACTIVE) & F.coalesce("license", F.lit("unknown")).isin("", "unknown")).limit(1).count()

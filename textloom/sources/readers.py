@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.normalize import trimmed
 
 # Extensions taken and fields that may hold the text, in order.
 EXTENSIONS = (".txt", ".jsonl", ".json", ".csv", ".tsv", ".md", ".jsonl.gz", ".parquet")
 TEXT_FIELDS = ("text", "content", "message", "prompt", "completion", "response", "answer", "output")
 ZIP_BYTES = 1 << 30
-READ_BYTES = 10 << 20
+HEAD = 1024
 
 
-def decode(content: Column) -> Column:
-    """The first 10 MiB as UTF-8 without a byte order mark, or as Latin-1 where that fails."""
+def decode(content: Column, limit: int | None = None) -> Column:
+    """Bytes as UTF-8 without a byte order mark, or as Latin-1 where that fails; whole, or the first ``limit`` bytes."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         def one(b):
-            b = (b or b"")[:READ_BYTES]
+            b = (b or b"")[:limit]
             try:
                 return b.decode("utf-8-sig")
             except UnicodeDecodeError:
@@ -40,32 +41,73 @@ def text_field(record: Column) -> Column:
 
 
 def whole_files(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """source_uri, text of every file under a folder with a known extension, less those already in ``known``."""
+    """source_uri, relative_path, text, ingest_status of every file under a folder with a known extension, less those already
+    in ``known``. A file with a zero byte is no text: its status is error and its text null; others are done. Files without
+    any byte are no rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     keep = F.lit(False)
     for e in EXTENSIONS:
         keep = keep | F.lower("path").endswith(e)
-    rows = files.where(keep).select(F.col("path").alias("source_uri"), decode(F.col("content")).alias("text"))
+    below = F.regexp_replace(F.substring_index("path", path.rstrip("/").rpartition("/")[2] + "/", -1), "^/+", "")
+    text = decode(F.col("content"))
+    rows = files.where(keep).select(F.col("path").alias("source_uri"), below.alias("relative_path"), text.alias("_text"))
+    sound = ~F.contains("_text", F.lit("\0"))
+    rows = rows.select("source_uri", "relative_path", F.when(sound, F.col("_text")).alias("text"), F.when(sound, "done").otherwise("error").alias("ingest_status"))
     return rows if known is None else rows.join(known.select("source_uri"), "source_uri", "left_anti")
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_uri, value of the lines that are JSON objects; blank and malformed ones are left out. gz is read too."""
+def retried(spark: SparkSession, path: str, items: DataFrame) -> DataFrame:
+    """items with those of status error read again from their files under ``path``; what fails again keeps the status."""
+    failed = items.where("ingest_status = 'error'").select("source_uri")
+    again = whole_files(spark, path).join(failed, "source_uri", "left_semi").where("ingest_status = 'done'").select("source_uri", F.col("text").alias("_text"))
+    out = items.join(again, "source_uri", "left")
+    return out.withColumn("text", F.coalesce("_text", "text")).withColumn("ingest_status", F.when(F.col("_text").isNotNull(), "done").otherwise(F.col("ingest_status"))).drop("_text")
+
+
+def sniffed(spark: SparkSession, path: str) -> DataFrame:
+    """source_uri and form, training or text, of each file of lines, by its first line that is not blank."""
+    from ..operators.records import kind
+
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("source_uri"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    first = rows.where(F.col("value").rlike(f"[^{T.SPACE}]")).groupBy("source_uri").agg(F.min_by("value", F.struct("at", "n")).alias("line"))
+    return first.select("source_uri", F.when(kind(F.col("line")).isNotNull(), "training").otherwise("text").alias("form"))
+
+
+def numbered(rows: DataFrame, text: Column) -> DataFrame:
+    """Items of row-wise files (source_uri, at: bytes where the row's block begins, and its columns): text, the row's number
+    in its file, relative_path ``stem_number`` and the other columns as JSON metadata."""
+    order = Window.partitionBy("source_uri").orderBy("at", "n")
+    name = F.regexp_replace(F.element_at(F.split("source_uri", "/"), -1), r"\.[^.]*$", "")
+    rest = [c for c in rows.columns if c not in ("source_uri", "at", "n")]
+    out = rows.withColumn("row", F.row_number().over(order) - 1).withColumn("text", text)
+    return out.select("source_uri", "row", F.concat_ws("_", name, F.col("row").cast("string")).alias("relative_path"), "text", F.to_json(F.struct(*rest)).alias("metadata"))
+
+
+def line_rows(spark: SparkSession, path: str) -> DataFrame:
+    """source_uri, at, n, value of all lines that are not blank, for numbered()."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("source_uri"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    return rows.where(F.col("value").rlike(f"[^{T.SPACE}]"))
+
+
+def json_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """source_uri, value of the lines that are JSON objects; blank and malformed ones are left out. gz is read too.
+    ``limit`` counts raw lines."""
     rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("source_uri"), "value")
-    return rows.where(F.json_object_keys("value").isNotNull())
+    return (rows if limit is None else rows.limit(limit)).where(F.json_object_keys("value").isNotNull())
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("source_uri"), F.trim("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("source_uri"), trimmed(F.col("value")).alias("text"))
     return rows.where("text <> ''")
 
 
 def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """CSV with a header; without ``sep`` the delimiter most frequent in the first line of , ; tab and | is taken."""
+    """CSV with a header; without ``sep`` the delimiter of , ; tab and | that is most frequent in the first KiB is taken."""
     if sep is None:
-        head = spark.read.text(path).first()
-        line = head[0] if head else ""
-        sep = max(",;\t|", key=line.count)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+        head = files.select(F.substring("content", 1, HEAD).alias("head")).limit(1).collect()
+        text = bytes(head[0].head).decode("utf-8", "replace") if head else ""
+        sep = max(",;\t|", key=text.count)
     return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path, sep=sep)
 
 
@@ -98,7 +140,7 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
                     if i.filename.startswith(("/", "\\")) or ".." in i.filename.replace("\\", "/").split("/"):
                         raise ValueError(f"{uri}: unsafe member {i.filename}")
                     if not i.is_dir():
-                        b = z.read(i)[:READ_BYTES]
+                        b = z.read(i)
                         try:
                             t = b.decode("utf-8-sig")
                         except UnicodeDecodeError:
@@ -115,8 +157,11 @@ def items(rows: DataFrame, dataset: str) -> DataFrame:
 
     t = T.text_of("text")
     cols = {k: v for k, v in T.stats(t).items()}
-    out = rows.select("source_uri", t.alias("text"), F.lit(dataset).alias("dataset_id"), F.sha2(t, 256).alias("content_hash"), *(c.alias(k) for k, c in cols.items()), not_nfc(t).alias("has_unicode_issues"), T.has_whitespace_issue(t).alias("has_whitespace_issues"))
-    return out.withColumn("id", F.sha2(F.concat_ws("/", "dataset_id", "source_uri", "content_hash"), 256)).withColumn("ingest_status", F.lit("done")).withColumn("decision", F.lit("pending"))
+    kept = [c for c in ("relative_path", "row", "metadata", "ingest_status") if c in rows.columns]
+    out = rows.select("source_uri", *kept, t.alias("text"), F.lit(dataset).alias("dataset_id"), F.sha2(t, 256).alias("content_hash"), *(c.alias(k) for k, c in cols.items()), not_nfc(t).alias("has_unicode_issues"), T.has_whitespace_issue(t).alias("has_whitespace_issues"))
+    own = ["dataset_id", "source_uri", *(["row"] if "row" in kept else []), "content_hash"]
+    out = out.withColumn("id", F.sha2(F.concat_ws("/", *(F.col(c).cast("string") for c in own)), 256)).withColumn("decision", F.lit("pending"))
+    return out if "ingest_status" in kept else out.withColumn("ingest_status", F.lit("done"))
 
 
 def benchmark(spark: SparkSession, source) -> DataFrame:
@@ -135,4 +180,4 @@ def benchmark(spark: SparkSession, source) -> DataFrame:
         rows = text_lines(spark, source).select("text")
     if rows.isEmpty():
         raise ValueError("the benchmark is empty")
-    return rows.select(F.monotonically_increasing_id().alias("item_id"), "text")
+    return rows.select(F.xxhash64("text").alias("item_id"), "text").dropDuplicates(["item_id"])

@@ -27,20 +27,30 @@ def training_records(frames: dict[str, DataFrame], path: str, fmt: str = "jsonl"
         write(df.where("status = 'approved'") if name in ("sft", "dpo") else df, f"{path}/{name}", fmt)
 
 
-def dataset_folder(manifest: DataFrame, path: str, name: str) -> dict:
-    """Parquet data with dataset_info.json as one text file; returns the info."""
-    write(manifest, f"{path}/data", "parquet")
-    n = manifest.count()
-    info = {"dataset_name": name, "num_examples": n, "size_category": "n<1K" if n < 1000 else "1K<n<10K" if n < 10_000 else "n>10K", "features": [f.name for f in manifest.schema]}
-    spark = manifest.sparkSession
-    spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/dataset_info.json")
+def dataset_folder(frames: dict[str, DataFrame], path: str, name: str) -> dict:
+    """Parquet data of each configuration with dataset_info.json and README.md as text files; returns the info.
+
+    Rows are counted on what was written, not by running the frames again.
+    """
+    configs = {}
+    for config, df in frames.items():
+        write(df, f"{path}/{config}", "parquet")
+        n = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{config}").count()
+        configs[config] = {"num_examples": n, "features": [f.name for f in df.schema]}
+    total = sum(c["num_examples"] for c in configs.values())
+    info = {"dataset_name": name, "configs": configs, "size_category": "n<1K" if total < 1000 else "1K<n<10K" if total < 10_000 else "n>10K"}
+    lines = [f"# {name}", "", *(f"- {c}: {x['num_examples']} rows ({', '.join(x['features'])})" for c, x in configs.items())]
+    spark = next(iter(frames.values())).sparkSession
+    for file, text in (("dataset_info.json", json.dumps(info)), ("README.md", "\n".join(lines))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{file}")
     return info
 
 
-def report(items: DataFrame, issues: DataFrame) -> dict[str, dict]:
-    """Decision counts (all six) and issues by type."""
+def report(items: DataFrame, issues: DataFrame, records: dict[str, DataFrame] | None = None) -> dict[str, dict]:
+    """Decision counts (all six), issues by type and the count of each kind of training record."""
     from ..operators.items import DECISIONS
 
     counts = {r[0]: r[1] for r in items.groupBy("decision").count().collect()}
     types = {r[0]: r[1] for r in issues.groupBy("issue_type").count().collect()}
-    return {"decisions": {d: counts.get(d, 0) for d in DECISIONS}, "issues_by_type": types}
+    kinds = {k: df.count() for k, df in (records or {}).items()}
+    return {"decisions": {d: counts.get(d, 0) for d in DECISIONS}, "issues_by_type": types, "training_records": kinds}
