@@ -61,6 +61,7 @@ def brute_components(s):
 def test_join_of_a_large_family_equals_brute_force(spark, monkeypatch, block):
     """Near copies of one text, many not similar to it but to each other, and chains of edits, over one or many cells."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "MEETINGS", block // 3)
     monkeypatch.setattr(ngram_join, "FAMILY", 7)
     rng = random.Random(5)
     base, chain, far = sentence(rng, 60).split(), [], []

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 SIMILARITY = 0.75
-_SAVED: list[tuple[SparkSession, str]] = []
+_SAVED: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,27 +38,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back. Removed when Python ends."""
+    """Cut lineage: write ``df`` to the shared folder and read it back. Removed by discard(), or when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _SAVED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _SAVED[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _SAVED.pop(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete what save() wrote for these frames, which nothing may read any more, and let Spark drop the shuffles of
+    plans that are done: it does so when the driver's garbage is collected."""
+    for df in saved:
+        if getattr(df, "_saved_at", None) in _SAVED:
+            _delete(df._saved_at)
+    gc.collect()
+    saved[0].sparkSession._jvm.System.gc()
 
 
 def clear_saved() -> None:
-    """Delete what save() has written so far; frames that read it must no longer be needed."""
-    while _SAVED:
-        spark, path = _SAVED.pop()
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit; the folder is then the cluster's to clean
-            return
-
-
-atexit.register(clear_saved)
+    """Delete all that save() has written so far; frames that read it must no longer be needed."""
+    for path, spark in list(_SAVED.items()):
+        if spark.sparkContext._jsc is None:  # the session has ended: the folder is then the cluster's to clean
+            _SAVED.pop(path)
+        else:
+            _delete(path)
+
+
+def _at_exit() -> None:
+    """The session may end while this runs; what is left is then the cluster's to clean."""
+    with contextlib.suppress(Exception):
+        clear_saved()
+
+
+atexit.register(_at_exit)
 
 
 def collect_bounded(df: DataFrame, most: int, what: str) -> pa.Table:
