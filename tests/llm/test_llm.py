@@ -218,6 +218,28 @@ def test_context_mixing(spark):
     assert context_mixing.scored(docs(spark, [])).count() == 0
 
 
+def test_context_mixing_equals_brute_force_counts(spark, texts):
+    """Counts and base score against plain counting; no score depends on how rows are dealt; held-out text scores better than the base."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(9)
+    many = [*texts, *(sentence(rng, 60) for _ in range(60))]
+    table = docs(spark, many)
+    got = {r.doc_id: r for r in context_mixing.scored(table).collect()}
+    words = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None] for t in many]
+    count = Counter(w for i, ws in enumerate(words) if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(count.values()), len(count)
+    for i, ws in enumerate(words):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(ws), sum(w in count for w in ws), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws))
+    again = {r.doc_id: r.score for r in context_mixing.scored(table.repartition(7)).collect()}
+    assert again == pytest.approx({i: r.score for i, r in got.items()}, abs=1e-4)
+    held = [r for i, r in got.items() if r.held_out and len(many[i] or "") > 200]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_context_mixing_uses_the_order_of_words(spark):
     rng = random.Random(11)
     texts = []
