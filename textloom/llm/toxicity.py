@@ -2,10 +2,8 @@
 
 Severity grades 0, 1, 2 come from the labels: 0 clean, 1 toxic, 2 toxic and of low quality. One weight vector
 serves all ordered thresholds: ``P(grade >= k) = sigmoid(w.x - theta_k)``. Features are the presence of words
-(ASCII punctuation removed, A-Z lowered); an L1 penalty leaves few of them. A text is rejected
-only if it also has a strong word, one of at least STRONG of the largest weight, so lacking clean words, as an empty
-text does, is no evidence. Expected severity is the sum of
-``P(grade >= k)``.
+(ASCII punctuation removed, A-Z lowered) and of their first STEM bytes, as many languages inflect. The L1 penalty is the one of PENALTIES under which labelled rows kept out of the fit are
+likeliest; a text is rejected from the expected severity on that parts those rows best. Expected severity is the sum of ``P(grade >= k)``; a text without known words has the base rate's.
 """
 
 from __future__ import annotations
@@ -23,8 +21,16 @@ from .sample import folded
 MOST_LABELLED = 8_000
 MOST_WORDS = 50_000
 SCREENED = 4_000
+STEM = 5
+PENALTIES = (1e-4, 3e-4, 1e-3)
 REJECT = 0.5
-STRONG = 0.3
+FOLDS = 5
+
+
+def stemmed(text: bytes) -> set[bytes]:
+    """Distinct words without ASCII punctuation, A-Z lowered, and the first STEM bytes of longer ones, marked by a zero byte."""
+    words = folded(text)
+    return words | {b"\0" + w[:STEM] for w in words if len(w) > STEM}
 
 
 def severity_labels(labels: DataFrame) -> DataFrame:
@@ -34,7 +40,7 @@ def severity_labels(labels: DataFrame) -> DataFrame:
     return one.select("doc_id", F.when(F.col("t") == 0, 0).when(F.col("q") == 0, 2).otherwise(1).alias("grade"))
 
 
-def fit_ordinal(at, grade: np.ndarray, m: int, grades: int, l1: float = 3e-5, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(at, grade: np.ndarray, m: int, grades: int, l1: float = 3e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ascending thresholds by accelerated proximal gradient descent on the likelihood."""
     n = len(grade)
     share = np.array([(grade >= k).mean() if n else 0.0 for k in range(1, grades)])
@@ -61,33 +67,69 @@ def fit_ordinal(at, grade: np.ndarray, m: int, grades: int, l1: float = 3e-5, st
     return w, theta
 
 
-def _judge(ts: list[bytes], weights: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Linear score of each text and whether it has a strong word."""
-    known, least = weights.keys(), STRONG * max(weights.values(), default=0.0)
-    hits = [[weights[w] for w in known & folded(t)] for t in ts]
-    return np.array([sum(h) for h in hits], float), np.array([least > 0 and max(h, default=0.0) >= least for h in hits], bool)
+def _linear(ts: list[bytes], weights: dict[bytes, float]) -> np.ndarray:
+    known = weights.keys()
+    return np.array([sum(weights[w] for w in known & stemmed(t)) for t in ts], float)
+
+
+def _severity(z: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(grade >= k) for each k, and the expected severity."""
+    up = np.round(sigmoid(z[None, :] - theta[:, None]), 6)
+    return up, np.round(up.sum(axis=0), 6)
+
+
+def _rows_of(at, keep: np.ndarray):
+    """The features of the rows kept, numbered anew."""
+    to = np.cumsum(keep) - 1
+    ok = keep[at[0]]
+    return to[at[0][ok]], at[1][ok]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[bytes, float], np.ndarray]:
-    """Word weights and thresholds from at most ``most`` labelled rows; no usable labels: no weights."""
-    rows = sample.word_rows(docs.select("doc_id", "text"), sample.chosen(severity_labels(labels), most), sample.folded)
+def _cut(severity: np.ndarray, grade: np.ndarray) -> float:
+    """The severity that parts toxic rows from others best, by F1: half way between the last row above it and the next
+    below; REJECT if there are no toxic rows."""
+    by = np.argsort(-severity, kind="stable")
+    s, good = severity[by], np.cumsum(grade[by] > 0)
+    if not len(s) or not good[-1]:
+        return REJECT
+    f1 = np.where(np.r_[s[1:] != s[:-1], True], 2 * good / (np.arange(1, len(s) + 1) + good[-1]), -1)
+    k = int(np.flatnonzero(f1 == f1.max())[-1])
+    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[bytes, float], np.ndarray, float]:
+    """Word weights, thresholds and the severity from which texts are rejected, from at most ``most`` labelled rows, chosen by
+    a hash of the id; every FOLDS-th of them chooses penalty and cut. No usable labels: no weights."""
+    rows = sample.word_rows(docs.select("doc_id", "text"), sample.chosen(severity_labels(labels), most), stemmed)
     vocab = sample.vocabulary(rows, 4, MOST_WORDS)
     got, feats = sample.features(rows, vocab, most)
     grade = np.array(got["grade"], np.int64)
     n, m = len(grade), len(vocab)
     at = linear.csr(feats)
+    if not n or not m:
+        return {}, fit_ordinal(at, grade, m, 3)[1], REJECT
     df = np.bincount(at[1], minlength=m)
     y = (grade > 0).astype(float)
-    z = np.abs(linear.times_t(at, y - y.mean() if n else y, m)) / np.sqrt(np.maximum(df, 1))
+    z = np.abs(linear.times_t(at, y - y.mean(), m)) / np.sqrt(np.maximum(df, 1))
     keep = np.sort(np.argsort(-z, kind="stable")[:SCREENED])
     to = np.full(m, -1)
     to[keep] = np.arange(len(keep))
-    ok = to[at[1]] >= 0 if m else np.zeros(0, bool)
-    w, theta = fit_ordinal((at[0][ok], to[at[1]][ok] if m else at[1]), grade, len(keep), 3)
-    return {vocab[k]: float(x) for k, x in zip(keep, w) if x}, theta
-
-
-def score(docs: DataFrame, weights: dict[bytes, float], theta: np.ndarray) -> DataFrame:
+    ok = to[at[1]] >= 0
+    at = at[0][ok], to[at[1]][ok]
+    out = np.arange(n) % FOLDS == 0
+    best, model = -np.inf, ({}, np.zeros(2), REJECT)
+    for penalty in PENALTIES:
+        w, theta = fit_ordinal(_rows_of(at, ~out), grade[~out], len(keep), 3, penalty)
+        up, severity = _severity(linear.times(_rows_of(at, out), w, int(out.sum())), theta)
+        steps = np.concatenate([np.ones((1, out.sum())), up, np.zeros((1, out.sum()))])
+        k = np.arange(int(out.sum()))
+        likely = np.log(np.maximum(steps[grade[out], k] - steps[grade[out] + 1, k], 1e-6)).sum()
+        if likely > best:
+            best, model = likely, ({vocab[k]: float(x) for k, x in zip(keep, w) if x}, theta, _cut(severity, grade[out]))
+    return model
+
+
+def score(docs: DataFrame, weights: dict[bytes, float], theta: np.ndarray, cut: float = REJECT) -> DataFrame:
     """doc_id, p_toxic, p_severe, expected_severity, rejected for every row, repeats included; one scan, no shuffle.
 
     Null, empty and wordless texts score as a text without features. Weights are at most SCREENED words.
@@ -97,23 +139,21 @@ def score(docs: DataFrame, weights: dict[bytes, float], theta: np.ndarray) -> Da
     def run(batches):
         weights, theta = model.value
         for batch in batches:
-            z, strong = _judge(texts(batch.column(1)), weights)
-            up = np.round(sigmoid(z[None, :] - theta[:, None]), 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, up), pa.array(np.round(up.sum(axis=0), 6)), pa.array((up[0] >= REJECT) & strong)], ["doc_id", "p_toxic", "p_severe", "expected_severity", "rejected"])
+            up, severity = _severity(_linear(texts(batch.column(1)), weights), theta)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, up), pa.array(severity), pa.array(severity >= cut)], ["doc_id", "p_toxic", "p_severe", "expected_severity", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, p_toxic double, p_severe double, expected_severity double, rejected boolean")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose own text is not rejected; judged row by row, also for repeated or null ids."""
-    weights, theta = fit(docs, labels)
-    model = docs.sparkSession.sparkContext.broadcast((weights, float(theta[0])))
+    weights, theta, cut = fit(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast((weights, theta))
 
     def run(batches):
-        weights, first = model.value
+        weights, theta = model.value
         for batch in batches:
-            z, strong = _judge(texts(batch.column("text")), weights)
-            yield batch.filter(pa.array(~(strong & (np.round(sigmoid(z - first), 6) >= REJECT))))
+            yield batch.filter(pa.array(_severity(_linear(texts(batch.column("text")), weights), theta)[1] < cut))
 
     return docs.mapInArrow(run, docs.schema)
 
