@@ -55,13 +55,17 @@ def _delete(path: str) -> None:
 
 
 def discard(*saved: DataFrame) -> None:
-    """Delete what save() wrote for these frames, which nothing may read any more, and let Spark drop the shuffles of
-    plans that are done: it does so when the driver's garbage is collected."""
+    """Delete what save() wrote for these frames, which nothing may read any more, and settle()."""
     for df in saved:
         if getattr(df, "_saved_at", None) in _SAVED:
             _delete(df._saved_at)
+    settle(saved[0].sparkSession)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffles of plans that are done: it does so when the driver's garbage is collected."""
     gc.collect()
-    saved[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def clear_saved() -> None:
