@@ -3,11 +3,14 @@
 Severity grades 0, 1, 2 come from the labels: 0 clean, 1 toxic, 2 toxic and of low quality. One weight vector
 serves all ordered thresholds: ``P(grade >= k) = sigmoid(w.x - theta_k)``. Features are the presence of words
 (ASCII punctuation removed, A-Z lowered) and of their first STEM bytes, as many languages inflect. The L1 penalty is the one of PENALTIES under which labelled rows kept out of the fit are
-likeliest; a text is rejected from the expected severity on that parts those rows best. Expected severity is the sum of ``P(grade >= k)``; a text without known words has the base rate's.
+likeliest; a text is rejected from the expected severity on that parts those rows best. Weights are never negative, so lacking clean words, as an
+empty text does, is no evidence. Expected severity is the sum of ``P(grade >= k)``.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +44,7 @@ def severity_labels(labels: DataFrame) -> DataFrame:
 
 
 def fit_ordinal(at, grade: np.ndarray, m: int, grades: int, l1: float = 3e-4, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and ascending thresholds by accelerated proximal gradient descent on the likelihood."""
+    """Shared weights, none negative, and ascending thresholds by accelerated proximal gradient descent on the likelihood."""
     n = len(grade)
     share = np.array([(grade >= k).mean() if n else 0.0 for k in range(1, grades)])
     share = np.clip(share, 1e-4, 1 - 1e-4)
@@ -60,7 +63,7 @@ def fit_ordinal(at, grade: np.ndarray, m: int, grades: int, l1: float = 3e-4, st
         g = -(a - b) / p / n
         gt = np.array([(np.where(grade == k, a / p, 0) - np.where(grade == k - 1, b / p, 0)).sum() / n for k in range(1, grades)])
         nw = v - step * linear.times_t(at, g, m)
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * l1, 0)
+        nw = np.maximum(nw - step * l1, 0)
         nth = np.maximum.accumulate(th - gt + np.r_[0, np.full(grades - 2, 1e-9)])
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, th, w, theta, t = nw + (t - 1) / nt * (nw - w), nth, nw, nth, nt
@@ -99,7 +102,8 @@ def _cut(severity: np.ndarray, grade: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[bytes, float], np.ndarray, float]:
     """Word weights, thresholds and the severity from which texts are rejected, from at most ``most`` labelled rows, chosen by
-    a hash of the id; every FOLDS-th of them chooses penalty and cut. No usable labels: no weights."""
+    a hash of the id; a FOLDS-th of them chooses penalty and cut. No usable labels or too few to keep
+    some out: no weights."""
     rows = sample.word_rows(docs.select("doc_id", "text"), sample.chosen(severity_labels(labels), most), stemmed)
     vocab = sample.vocabulary(rows, 4, MOST_WORDS)
     got, feats = sample.features(rows, vocab, most)
@@ -116,7 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[
     to[keep] = np.arange(len(keep))
     ok = to[at[1]] >= 0
     at = at[0][ok], to[at[1]][ok]
-    out = np.arange(n) % FOLDS == 0
+    out = np.array([zlib.crc32(str(i).encode()) % FOLDS == 0 for i in got["doc_id"]])
+    if out.all() or not out.any():
+        return {}, fit_ordinal(at, grade, len(keep), 3)[1], REJECT
     best, model = -np.inf, ({}, np.zeros(2), REJECT)
     for penalty in PENALTIES:
         w, theta = fit_ordinal(_rows_of(at, ~out), grade[~out], len(keep), 3, penalty)
