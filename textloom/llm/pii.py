@@ -2,9 +2,12 @@
 
 Strict rules give the base spans, which always stay. High-recall generators propose further, overlapping spans
 (spelled-out addresses, loosely written numbers). A candidate has format and context features of few values
-each; counted over all documents they form a table of bounded size, on which boosted trees learn which look like base
-spans. For each kind the lowest score at which the share of base spans above it reaches PRECISION is its
-threshold; candidates from there on that touch no base span are added, longest first.
+each; counted over all documents they form a table of bounded size, on which boosted trees learn. Positives are base spans
+in the looser forms that the generators exist for: addresses spelled out or spaced, numbers without their country
+code, as they stand and after a cue; negatives are candidates that are no base span and have no cue, and numbers that look like
+addresses or cards but fail their checks. For each kind the lowest score at which the share of positives above it
+reaches PRECISION, counted on the half of the documents that the trees have not seen, is its threshold; candidates from
+there on that touch no base span are added, longest first.
 
 Positions come from splitting a text at its matches. Separators inside numbers and dots inside names are first
 replaced by a private-use character of the same length, so that every pattern is a plain run of characters
@@ -30,7 +33,8 @@ _EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++{MARK}[A-Za-z0-9{MARK}-
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = rf"[0-9][0-9{MARK}]*[0-9]"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_WIDE_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++ ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z][A-Za-z0-9.-]+"
+_DOT = r"(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)"
+_WIDE_MAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++){{0,4}}+(?: ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++){{1,4}}+| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++){{1,4}}+)"
 _WIDE_NUMBER = r"(?<![A-Za-z0-9])[+(]?[0-9][0-9 ().+/-]{5,28}[0-9](?![A-Za-z0-9])"
 _CUES = (("phone", "tel|phone|call|fax|mobile|cell"), ("card", "card|visa|credit|account"), ("ip", "host|server| ip|address"))
 FEATURES = ("guess", "digits", "length", "space", "dash", "dot", "paren", "at", "cue", "edge")
@@ -102,30 +106,49 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """Adds cands: array of spans (st, k, en) with the features and y, whether the span is a base span of its kind."""
+    """Adds cands: array of spans (st, k, en) with the features, y, whether the span is a base span of its kind, and apart,
+    whether it touches none; and loose: the features of base spans in looser forms."""
     none = "array<struct<st:int,en:int,m:string>>"
-    mail = F.when(F.col("_t").rlike(r"@|\(at\)|\[at\]"), matches(F.col("_t"), _WIDE_MAIL)).otherwise(F.array().cast(none))
+    mail = F.when(F.col("_t").rlike(r"@|\(at\)|\[at\]| dot "), matches(F.col("_t"), _WIDE_MAIL)).otherwise(F.array().cast(none))
     number = F.when(F.col("_num"), matches(F.col("_t"), _WIDE_NUMBER)).otherwise(F.array().cast(none))
     text, base = F.col("_t"), F.col("base")
 
-    def features(x, is_mail):
-        m, d = x["m"], F.length(_digits(x["m"]))
+    def features(st, m, is_mail, cue=None):
+        d = F.length(_digits(m))
         has = lambda c: m.contains(c).cast("int")
-        before = F.lower(F.substring(text, F.greatest(F.lit(1), x["st"] - 19), F.least(F.lit(20), x["st"])))
+        before = F.lower(F.substring(text, F.greatest(F.lit(1), st - 19), F.least(F.lit(20), st)))
         dots = F.length(m) - F.length(F.replace(m, F.lit("."), F.lit("")))
         k = F.lit(0) if is_mail else F.when(dots == 3, 1).when(d >= 12, 2).otherwise(3)
-        cue = F.lit(0)
-        for i, (_, words) in enumerate(_CUES, 1):
-            cue = F.when(before.rlike(words), i).otherwise(cue)
-        same = F.exists(base, lambda b: (b["st"] == x["st"]) & (b["en"] == x["en"]) & (b["k"] == k))
-        return F.struct(
-            x["st"].alias("st"), k.alias("k"), x["en"].alias("en"), k.alias("guess"), F.least(F.lit(20), d).alias("digits"), F.least(F.lit(9), (F.length(m) / 4).cast("int")).alias("length"),
+        if cue is None:
+            cue = F.lit(0)
+            for i, (_, words) in enumerate(_CUES, 1):
+                cue = F.when(before.rlike(words), i).otherwise(cue)
+        return [
+            k.alias("guess"), F.least(F.lit(20), d).alias("digits"), F.least(F.lit(9), (F.length(m) / 4).cast("int")).alias("length"),
             has(" ").alias("space"), has("-").alias("dash"), F.least(F.lit(3), dots).alias("dot"), has("(").alias("paren"), has("@").alias("at"), cue.alias("cue"),
-            before.rlike(r"[\s]$").cast("int").alias("edge"), same.cast("int").alias("y"),
-        )
-
-    both = F.concat(F.transform(mail, lambda x: features(x, True)), F.transform(number, lambda x: features(x, False)))
-    return docs.withColumn("cands", both)
+            before.rlike(r"[\s]$").cast("int").alias("edge"),
+        ]
+
+    def candidate(x, is_mail):
+        own = features(x["st"], x["m"], is_mail)
+        same = F.exists(base, lambda b: (b["st"] == x["st"]) & (b["en"] == x["en"]) & (b["k"] == own[0]))
+        apart = ~F.exists(base, lambda b: (b["st"] < x["en"]) & (x["st"] < b["en"]))
+        return F.struct(x["st"].alias("st"), own[0].alias("k"), x["en"].alias("en"), *own, same.cast("int").alias("y"), apart.alias("apart"))
+
+    def forms(b):
+        m = F.substring(text, b["st"] + 1, b["en"] - b["st"])
+        loose = []
+        for at, dot in ((" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "), (" @ ", ".")):
+            loose.append(F.struct(*features(b["st"], F.replace(F.replace(m, F.lit("."), F.lit(dot)), F.lit("@"), F.lit(at)), True)))
+        short = F.regexp_replace(m, r"^\+[0-9]{1,2}[ .-]?", "")
+        d = _digits(short)
+        dashed = F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 20))
+        framed = F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 20))
+        phone = [F.struct(*features(b["st"], m, False, cue)) for m in (short, dashed, framed) for cue in (None, F.lit(1))]
+        return F.when(b["k"] == 0, F.array(*loose)).when(b["k"] == 3, F.array(*phone))
+
+    both = F.concat(F.transform(mail, lambda x: candidate(x, True)), F.transform(number, lambda x: candidate(x, False)))
+    return docs.withColumn("cands", both).withColumn("loose", F.flatten(F.filter(F.transform("base", forms), lambda f: f.isNotNull())))
 
 
 def boost(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> tuple[float, list]:
@@ -165,32 +188,43 @@ def boost(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = ROUNDS, rat
     return start, trees
 
 
-def fit(cands: DataFrame) -> tuple[float, list, list[float | None]]:
-    """Trees and each kind's threshold from all candidates of all documents.
+def fit(cands: DataFrame) -> list[tuple[float, list, float | None]]:
+    """Each kind's trees and threshold from all candidates of all documents, dealt into two halves by a hash of the text.
 
     The features' values are few, so the collected table of their combinations is bounded whatever the data.
     """
-    each = cands.where(F.size("cands") > 0).select(F.explode("cands").alias("c")).select("c.*")
+    half = F.pmod(F.xxhash64("_t"), F.lit(2)).alias("half")
+    other = F.filter("cands", lambda c: c["apart"] & ((c["cue"] == 0) | c["k"].isin(1, 2)))
+    bad = F.transform(other, lambda c: F.struct(*(c[f].alias(f) for f in FEATURES), F.lit(0).alias("y")))
+    good = F.transform("loose", lambda c: F.struct(*(c[f].alias(f) for f in FEATURES), F.lit(1).alias("y")))
+    each = cands.where((F.size("cands") > 0) | (F.size("loose") > 0)).select(half, F.explode(F.concat(good, bad)).alias("c")).select("half", "c.*")
     bound = 4 * 21 * 10 * 2 * 2 * 4 * 2 * 2 * 4 * 2
-    rows = collect_bounded(each.groupBy(*FEATURES).agg(F.sum("y").alias("good"), F.count("*").alias("n")), bound, "feature combinations").sort_by([(f, "ascending") for f in FEATURES]).to_pydict()
+    rows = collect_bounded(each.groupBy("half", *FEATURES).agg(F.sum("y").alias("good"), F.count("*").alias("n")), 2 * bound, "feature combinations").sort_by([(f, "ascending") for f in ("half", *FEATURES)]).to_pydict()
     x = np.array([rows[f] for f in FEATURES], np.int64).T.reshape(-1, len(FEATURES))
-    y, n = np.array(rows["good"], float), np.array(rows["n"], float)
-    start, trees = boost(x, y, n)
+    y, n, seen = np.array(rows["good"], float), np.array(rows["n"], float), np.array(rows["half"]) == 0
 
     def walk(tree, row):
         while isinstance(tree, tuple):
             tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
         return tree
 
-    score = np.array([start + sum(walk(t, row) for t in trees) for row in x])
-    limits: list[float | None] = []
+    models = []
     for k in range(len(KINDS)):
-        own = x[:, 0] == k if len(x) else np.zeros(0, bool)
-        by = np.argsort(-score[own], kind="stable")
-        share = np.cumsum(y[own][by]) / np.maximum(np.cumsum(n[own][by]), 1)
-        ok = np.flatnonzero(share >= PRECISION)
-        limits.append(float(score[own][by][ok[-1]]) - 1e-9 if len(ok) else None)
-    return start, trees, limits
+        mine = x[:, 0] == k if len(x) else np.zeros(0, bool)
+        if not (mine & seen).any() or not (mine & ~seen).any():
+            models.append((0.0, [], None))
+            continue
+        learn, check = mine & seen, mine & ~seen
+        start, trees = boost(x[learn], y[learn], n[learn])
+        score = np.array([start + sum(walk(t, row) for t in trees) for row in x[check]])
+        by = np.argsort(-score, kind="stable")
+        value, good, total = score[by], np.cumsum(y[check][by]), np.cumsum(n[check][by])
+        ok = np.flatnonzero(np.r_[value[1:] != value[:-1], True] & (good >= PRECISION * total) & (good > 0))
+        limit = None
+        if len(ok):  # where all pass, nothing speaks against lower scores, down to even odds
+            limit = (min(float(value[-1]), 0.0) if ok[-1] == len(value) - 1 else float(value[ok[-1]])) - 1e-9
+        models.append((start, trees, limit))
+    return models
 
 
 def _score(c: Column, start: float, trees: list) -> Column:
@@ -209,16 +243,16 @@ def _score(c: Column, start: float, trees: list) -> Column:
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with base and spans, arrays of (st, k, en) by position; k numbers KINDS. Null texts have none.
 
-    Rows of any id, repeated ones too, are judged by their own text; columns of docs named base, cands or spans are
-    replaced. An empty table gives an empty result.
+    Rows of any id, repeated ones too, are judged by their own text; columns of docs named base, cands, loose, spans, _t or
+    _num do not come back. An empty table gives an empty result.
     """
-    work = with_candidates(with_base(docs.drop("base", "cands", "spans", "_t", "_num"), text))
-    start, trees, limits = fit(work)
+    work = with_candidates(with_base(docs.drop("base", "cands", "spans", "loose", "_t", "_num"), text))
+    models = fit(work)
     none = F.array().cast(_SPANS)
 
     def passes(c):
         ok = F.lit(False)
-        for k, limit in enumerate(limits):
+        for k, (start, trees, limit) in enumerate(models):
             if limit is not None:
                 ok = F.when(c["k"] == k, _score(c, start, trees) >= limit).otherwise(ok)
         return ok
@@ -228,13 +262,14 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
     free = F.sort_array(F.transform(free, lambda c: F.struct((c["st"] - c["en"]).alias("o"), c["st"].alias("st"), c["k"].alias("k"), c["en"].alias("en"))))
     added = F.aggregate(free, none, lambda s, c: F.when(F.exists(s, lambda b: (b["st"] < c["en"]) & (c["st"] < b["en"])), s).otherwise(F.concat(s, F.array(F.struct(c["st"].alias("st"), c["k"].alias("k"), c["en"].alias("en"))))))
     spans = F.when(F.size("cands") > 0, F.sort_array(F.concat(F.col("base"), added))).otherwise(F.col("base"))
-    return work.withColumn("spans", spans).drop("_t", "_num", "cands")
+    return work.withColumn("spans", spans).drop("_t", "_num", "cands", "loose")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs``, same columns, every span of text replaced by its kind in brackets (overlapping spans by the first's)."""
+    """``docs``, same columns whatever their names, every span of text replaced by its kind in brackets (overlapping spans by
+    the first's)."""
     columns = docs.columns
-    work = found(docs)
+    work = found(docs.select(F.struct(*columns).alias("own"), F.col("text").cast("string").alias("text")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s, x):
@@ -244,10 +279,10 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["en"]).alias("at"), F.when(fresh, put).otherwise(s["out"]).alias("out"))
 
     done = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    work = work.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text")))
+    new = {"text": F.when(F.size("spans") > 0, done).otherwise(F.col("text"))}
     if "n_chars" in columns:
-        work = work.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return work.select(*columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length(done).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("own.n_chars"))
+    return work.select(*(new.get(c, F.col("own")[c]).alias(c) for c in columns))
 
 
 def joined(spans: Column) -> Column:
