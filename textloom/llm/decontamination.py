@@ -23,6 +23,7 @@ Q = 12
 EDIT_SHARE = 0.05
 BLOCK_CHARS = 8_000_000
 _BASE = 0x9E3779B97F4A7C15
+MEETINGS = 2_000_000
 _BITS = 22
 
 
@@ -96,6 +97,24 @@ class Items:
         self.k = np.array([edit_budget(x) if x >= Q else 0 for x in m], np.int64)
         self.least = m - Q + 1 - self.k * Q
 
+    def _regions(self, hit: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Regions, item << 40 | band + 2^39, and how many grams each shares; band b holds the diagonals b * width to
+        (b + 2) * width - 1. MEETINGS at a time, as a gram that repeats in both meets itself that often squared."""
+        many = self.first[k + 1] - self.first[k]
+        upto, parts = np.cumsum(many), []
+        cuts = [0, *(np.searchsorted(upto, np.arange(MEETINGS, upto[-1], MEETINGS)) + 1).tolist(), len(hit)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo >= hi:
+                continue
+            m = many[lo:hi]
+            flat = np.repeat(self.first[k[lo:hi]] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+            item, diagonal = self.item[flat], np.repeat(hit[lo:hi], m) - self.place[flat]
+            band = np.floor_divide(diagonal, self.k[item] + 1)
+            key = item << np.int64(40) | band + np.int64(1 << 39)
+            parts.append(np.unique(np.r_[key, key - 1], return_counts=True))
+        regions, at = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        return regions, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
+
     def find(self, text: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item number, edits, start, end) of the best occurrence of each item that is in the text."""
         found: dict[int, tuple[int, int, int]] = {}
@@ -111,18 +130,10 @@ class Items:
             ok = self.gram[k] == grams[hit]
             hit, k = hit[ok], k[ok]
         if len(hit):
-            many = self.first[k + 1] - self.first[k]
-            flat = np.repeat(self.first[k] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            item, diagonal = self.item[flat], np.repeat(hit, many) - self.place[flat]
-            width = self.k[item] + 1
-            band = np.floor_divide(diagonal, width)
-            key = np.stack([np.r_[item, item], np.r_[band, band - 1]])  # band b: diagonals b * width .. (b + 2) * width - 1
-            by = np.lexsort(key[::-1])
-            key = key[:, by]
-            new = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            count = np.diff(np.r_[new, key.shape[1]])
-            region = count >= self.least[key[0, new]]
-            for n, b in key[:, new[region]].T.tolist():
+            regions, counts = self._regions(hit, k)
+            item = regions >> np.int64(40)
+            region = counts >= self.least[item]
+            for n, b in zip(item[region].tolist(), ((regions[region] & np.int64((1 << 40) - 1)) - (1 << 39)).tolist()):
                 if n in found and found[n][0] == 0:
                     continue
                 w, k = int(self.k[n]) + 1, int(self.k[n])
