@@ -118,6 +118,43 @@ def test_pii(spark):
     assert pii.found(docs(spark, [])).count() == 0
 
 
+def test_pii_base_equals_plain_python(spark):
+    rng = random.Random(4)
+    parts = ["a.b@c.de", "x@y", "@", "10.1.2.3", "300.1.2.3", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-2030", "+12", "+1+2", "12 34", " ", ",", "word", "\u00e9", "0", "-", "."]
+    many = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(12))) for _ in range(300)]
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def plain(t):
+        out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = re.sub("[^0-9]", "", m[0])
+            out += [(m.start(), 2, m.end())] * (12 <= len(d) <= 19 and luhn(d))
+        for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+            out += [(m.start(), 3, m.end())] * (9 <= len(re.sub("[^0-9]", "", m[0])) <= 15)
+        return sorted(out)
+
+    got = {r.doc_id: [tuple(x) for x in r.base] for r in pii.found(docs(spark, many)).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(many)}
+
+
+def test_pii_learned_spans_and_clashing_columns(spark):
+    rng = random.Random(6)
+    say = lambda: sentence(rng, 6)
+    many = [f"{say()} {rng.choice(['ann', 'bob.lee'])}{i}@mail{i}.org {say()}" for i in range(60)] + [f"{say()} +1 555 {i + 100} {2000 + i} {say()}" for i in range(60)] + [f"{say()} order 20{i % 90 + 10}-1{i % 3}-{i % 18 + 10} {say()}" for i in range(60)]
+    loose = ["jane.roe (at) mail (dot) org", "bob [at] corp [dot] net", "john dot smith at example dot com", "tel 555-010-2030", "phone: (555) 010-2030", "joe @ mail.org"]
+    clean = ["met at noon. Then left", "in 2010-11-12 and 1999", "at home. dot", "item 12-34 5"]
+    n = len(many)
+    got = {r.doc_id: r for r in pii.found(docs(spark, [*many, *(f"{say()} {x} {say()}" for x in [*loose, *clean])])).collect()}
+    assert [len(got[n + i].spans) for i in range(len(loose))] == [1] * len(loose)
+    assert [len(got[n + len(loose) + i].spans) for i in range(len(clean))] == [0] * len(clean)
+    assert all(set(r.base) <= set(r.spans) for r in got.values())
+    odd = spark.createDataFrame([(1, "x a@b.co", 5, "keep", "own", 7)], "doc_id long, text string, base long, spans string, own string, _t long")
+    assert [tuple(r) for r in pii.redacted(odd).collect()] == [(1, "x [EMAIL]", 5, "keep", "own", 7)]
+
+
 def test_urls(spark):
     urls = ["http://A.com/en/1", "http://www.example.com/en/7?x", "x://net/de/9", None, "nothing", "http://example.org/es/#a", "http://bad.io/1"]
     pages = spark.createDataFrame([*enumerate(urls), *((i, "http://bad.io/2") for i in range(10, 40))], "page_id long, url string")
@@ -183,6 +220,12 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontamination.clean(docs(spark, texts), bench).collect()} == {2, 3, 4}
 
 
+def test_decontamination_of_repetitive_text(spark):
+    bench = spark.createDataFrame([(1, "-" * 400), (2, "ab" * 300)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontamination.contaminated(docs(spark, ["-" * 6000, "x" * 50 + "ab" * 300 + "y", "-" * 300]), bench).collect()}
+    assert got == {(0, 1): 0, (1, 2): 0}
+
+
 def labelled(spark, n=300):
     rng = random.Random(5)
     rows, labels = [], []
