@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, ngram_join, packing, pii, toxicity
-from textloom.llm.common import save, table
+from textloom.llm.common import discard, save, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,11 +16,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; rows without an id stay."""
-    groups = ngram_join.class_components(docs)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    some = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("kept"), "left_semi")
-    return some.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The document with the smallest id of each group of near duplicates, judged by its own text; rows without an id stay.
+
+    Rows that repeat both id and text are copies too: one of them stays.
+    """
+    keep = ngram_join.representatives(docs).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    here = f"key_{uuid.uuid4().hex}"
+    some = docs.where("doc_id is not null").withColumn(here, F.xxhash64(F.col("text").cast("string")))
+    some = some.join(keep, (some["doc_id"].cast("long") == keep["kept_id"]) & (some[here] == keep["kept_key"]), "left_semi")
+    return some.dropDuplicates(["doc_id", here]).drop(here).unionByName(docs.where("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents, each written as Parquet and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order over the documents, each written as Parquet and read again for the next, then deleted."""
+    docs = last = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = save(docs, f"stage-{name}")
+            discard(last)
+            last = docs
     return docs
