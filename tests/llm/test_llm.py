@@ -296,3 +296,30 @@ def test_context_mixing_uses_the_order_of_words(spark):
     held = [i for i in range(60) if context_mixing.held_out(i)]
     assert sum(got[i].score for i in held) > 0.5 * sum(got[i].base_score for i in held)
     assert got[ids[-1]].score < 2 * got[3].score
+
+
+def test_pipeline(spark, tmp_path):
+    """Planted toxic texts, copies, benchmark passages and personal data against what must be left, piece by piece."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    d, labels = labelled(spark)
+    rows = [r.text for r in d.collect()[:300]]
+    item = sentence(rng, 40)
+    clean = [sentence(rng, 60) for _ in range(5)]
+    extra = [*clean, clean[0], clean[1] + " more", "see " + item + " end", sentence(rng, 50) + " scum loser", "mail me at a.b@c.org now " + sentence(rng, 20), None]
+    for name, df in (("documents", docs(spark, [*rows, *extra])), ("labels", labels), ("benchmark", spark.createDataFrame([(1, item)], "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = {i for i in range(300) if i % 5} | {300, 301, 302, 303, 304, 309, 310}
+    assert {r.doc_id for r in got} == want
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    text = re.sub("a.b@c.org", "[EMAIL]", extra[9])
+    ids = np.array(tok.encode(text, add_special_tokens=False).ids + [1], "<u4")
+    assert [(r.doc_tokens, r.ids_crc32) for r in got if r.doc_id == 309] == [(len(ids), zlib.crc32(ids.tobytes()))]
+    empty = tmp_path / "empty"
+    docs(spark, []).write.parquet(str(empty / "documents.parquet"))
+    labels.limit(0).write.parquet(str(empty / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(empty / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
