@@ -17,7 +17,6 @@ LOW_PII = Thresholds(pii=0.1, code=0.1)
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

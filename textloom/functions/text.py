@@ -74,14 +74,14 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, of)
 
 
-def word_hashes(text: Column, n: int) -> Column:
-    """64-bit hashes of all runs of n words; fewer words give none."""
+def run_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of all runs of n tokens; fewer tokens give none."""
 
     def of(h):
         starts = F.when(F.size(h) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - (n - 1)))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i - 1 + k) for k in range(n))))
 
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), of)
 
 
 def tokens_estimate(text: Column) -> Column:
@@ -114,7 +114,7 @@ def stats(text: Column) -> dict[str, Column]:
 
 def repetition(text: Column) -> Column:
     """Share of repeated word 5-grams."""
-    return let(word_hashes(text, 5), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)))
+    return let(run_hashes(words(text), 5), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)))
 
 
 def repetition_stats(text: Column) -> Column:
@@ -125,7 +125,7 @@ def repetition_stats(text: Column) -> Column:
         score = F.when(total == 0, 0.0).otherwise(F.round(1 - unique / total, 3))
         return F.struct(score.alias("repetition_score"), unique.cast("long").alias("unique_grams"), total.cast("long").alias("total_grams"))
 
-    return let(word_hashes(text, 5), of)
+    return let(run_hashes(words(text), 5), of)
 
 
 def evidence_spans(text: Column, fragments: Column, most: int = 24) -> Column:

@@ -15,25 +15,28 @@ def benchmark_text(record):
     return F.coalesce(*(F.nullif(F.trim(F.get_json_object(record, f"$.{f}")), F.lit("")) for f in FIELDS), record)
 
 
-def grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Distinct (key, gram): lower-case word n-grams of whole texts."""
-    tokens = F.regexp_extract_all(F.lower(T.text_of(text)), F.lit(T.WORD), F.lit(0))
-    return df.select(key, F.explode(F.array_distinct(T.ngrams(tokens, n))).alias("gram"))
+def _tokens(text: str):
+    return F.regexp_extract_all(F.lower(T.text_of(text)), F.lit(T.WORD), F.lit(0))
+
+
+def grams(df: DataFrame, text: str, n: int) -> DataFrame:
+    """Distinct (h, gram): lower-case word n-grams of whole texts under their 64-bit hashes."""
+    both = F.arrays_zip(T.run_hashes(_tokens(text), n).alias("h"), T.ngrams(_tokens(text), n).alias("gram"))
+    rows = df.select(F.explode(both).alias("z")).select("z.h", "z.gram")
+    return rows.groupBy("h").agg(F.min("gram").alias("gram"))
 
 
 def overlap(items: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """text_id, overlap_ngrams, total_ngrams, overlap of items that share a gram.
+    """text_id, overlap_ngrams, total_ngrams, overlap, samples of items that share a gram.
 
-    Only grams travel; the benchmark's are distinct, so the join gives a row per gram at most and adaptive execution
-    splits a hot gram on the items' side. A benchmark without grams is an error.
+    Only hashes of grams travel; the benchmark's are distinct, so the join gives a row per gram at most and adaptive
+    execution splits a hot gram on the items' side. A benchmark without grams is an error.
     """
-    bench = grams(benchmark, "item_id", "text", n).select(F.xxhash64("gram").alias("h"), "gram").distinct()
+    bench = grams(benchmark, "text", n)
     if bench.isEmpty():
         raise ValueError(f"the benchmark has no {n}-grams")
-    tokens = F.regexp_extract_all(F.lower(T.text_of("text")), F.lit(T.WORD), F.lit(0))
-    rows = items.select(F.col("id").alias("text_id"), F.array_distinct(T.ngrams(tokens, n)).alias("g"))
-    hits = rows.select("text_id", F.size("g").alias("total_ngrams"), F.explode("g").alias("gram")).withColumn("h", F.xxhash64("gram"))
-    hits = hits.join(bench, ["h", "gram"])
+    rows = items.select(F.col("id").alias("text_id"), F.array_distinct(T.run_hashes(_tokens("text"), n)).alias("g"))
+    hits = rows.select("text_id", F.size("g").alias("total_ngrams"), F.explode("g").alias("h")).join(bench, "h")
     return hits.groupBy("text_id", "total_ngrams").agg(F.count("*").alias("overlap_ngrams"), F.slice(F.sort_array(F.collect_set("gram")), 1, 3).alias("samples")).withColumn("overlap", F.round(F.col("overlap_ngrams") / F.col("total_ngrams"), 6))
 
 
