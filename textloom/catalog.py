@@ -170,17 +170,35 @@ def duplicate_review_pairs(spark, d):
     return dedup.review_pairs(dedup.exact_members(_items(spark, d)))
 
 
-@query()
+# Signatures: shingles of characters, the low half of the first 64 bits of each one's sha256, and 128 minima.
+_SIGNED = f"""{_ITEMS}, cs AS (SELECT id, string_split(replace(replace(text, chr(10), ' '), chr(9), ' '), '') AS c FROM items),
+chars AS (SELECT id, generate_subscripts(c, 1) AS i, unnest(c) AS ch FROM cs),
+grams AS (SELECT DISTINCT id, g FROM (SELECT id, ch || lead(ch, 1) OVER p || lead(ch, 2) OVER p || lead(ch, 3) OVER p || lead(ch, 4) OVER p AS g FROM chars WINDOW p AS (PARTITION BY id ORDER BY i)) WHERE g IS NOT NULL),
+hashed AS (SELECT id, ('0x' || sha256(g)[9:16])::BIGINT AS h FROM grams),
+minima AS MATERIALIZED (SELECT id, [{', '.join(f"min(({7919 * i + 31} * h + {6271 * i + 17}) % 4294967296)" for i in range(dedup.HASHES))}] AS sig FROM hashed GROUP BY 1),
+signed AS (SELECT i.id, coalesce(m.sig, []) AS sig FROM items i LEFT JOIN minima m ON m.id = i.id)"""
+_NEAR = f"""{_SIGNED}, classes AS (SELECT content_hash, min(id) AS id FROM items GROUP BY 1), reps AS MATERIALIZED (SELECT s.id, s.sig FROM signed s JOIN classes c ON c.id = s.id WHERE len(s.sig) > 0),
+bands AS MATERIALIZED (SELECT id, sig, unnest(range(0, {dedup.BANDS})) AS b FROM reps), keyed AS MATERIALIZED (SELECT id, sig, b, array_to_string(sig[b * {dedup.ROWS} + 1:b * {dedup.ROWS} + {dedup.ROWS}], ',') AS band FROM bands),
+meet AS (SELECT DISTINCT x.id AS id_a, y.id AS id_b, x.sig AS s, y.sig AS t FROM keyed x JOIN keyed y ON x.b = y.b AND x.band = y.band AND x.id < y.id),
+pairs AS MATERIALIZED (SELECT * FROM (SELECT id_a, id_b, floor(len(list_filter(list_zip(s, t), lambda z: z[1] = z[2])) / {dedup.HASHES} * 1e6 + 0.5) / 1e6 AS jaccard FROM meet) WHERE jaccard >= 0.7)"""
+
+
+@query(f"WITH {_SIGNED} SELECT id, array_to_string(sig, ',') AS signature FROM signed")
 def minhash_signatures(spark, d):
-    return _items(spark, d).select("id", dedup.signature(F.col("text")).alias("signature"))
+    sig = dedup.signature(F.col("text"))
+    return _items(spark, d).select("id", F.array_join(F.transform(sig, lambda x: x.cast("string")), ",").alias("signature"))
 
 
-@query()
+@query(f"WITH {_NEAR} SELECT id_a, id_b, jaccard FROM pairs")
 def near_dup_pairs(spark, d):
     return dedup.near_pairs(_items(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEAR}, edges AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs),
+reach AS (SELECT a, a AS r FROM edges UNION SELECT e.a, r.r FROM edges e JOIN reach r ON r.a = e.b), linked AS (SELECT a AS rep, min(r) AS g FROM reach GROUP BY 1),
+of_hash AS (SELECT content_hash, min(id) AS rep, count(*) AS k FROM items GROUP BY 1),
+rows AS (SELECT coalesce(l.g, o.rep) AS group_id, i.id AS text_id, i.tokens FROM items i JOIN of_hash o USING (content_hash) LEFT JOIN linked l USING (rep) WHERE o.k > 1 OR l.g IS NOT NULL)
+SELECT group_id, text_id, row_number() OVER (PARTITION BY group_id ORDER BY tokens DESC, text_id) = 1 AS is_canonical FROM rows""")
 def near_dup_members(spark, d):
     return dedup.near_members(_items(spark, d))
 
