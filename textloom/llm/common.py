@@ -65,6 +65,7 @@ def discard(*saved: DataFrame) -> None:
 def settle(spark: SparkSession) -> None:
     """Let Spark drop the shuffles of plans that are done: it does so when the driver's garbage is collected."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
 

@@ -2,7 +2,8 @@
 
 Severity grades 0, 1, 2 come from the labels: 0 clean, 1 toxic, 2 toxic and of low quality. One weight vector
 serves all ordered thresholds: ``P(grade >= k) = sigmoid(w.x - theta_k)``. Features are the presence of words
-(ASCII punctuation removed, A-Z lowered) and of their first STEM bytes, as many languages inflect. The L1 penalty is the one of PENALTIES under which labelled rows kept out of the fit are
+(ASCII punctuation removed, A-Z lowered), of their first STEM bytes, as many languages inflect, and of such that
+several words share. The L1 penalty is the one of PENALTIES under which labelled rows kept out of the fit are
 likeliest; a text is rejected from the expected severity on that parts those rows best. Weights are never negative, so lacking clean words, as an
 empty text does, is no evidence. Expected severity is the sum of ``P(grade >= k)``.
 """
@@ -17,23 +18,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear, sample
-from .common import table, texts
+from .common import collect_bounded, table, texts
 from .linear import sigmoid
 from .sample import folded
 
 MOST_LABELLED = 8_000
-MOST_WORDS = 50_000
+LEAST = 4
 SCREENED = 4_000
 STEM = 5
 PENALTIES = (1e-4, 3e-4, 1e-3)
 REJECT = 0.5
+BETA = 0.5
 FOLDS = 5
 
 
 def stemmed(text: bytes) -> set[bytes]:
-    """Distinct words without ASCII punctuation, A-Z lowered, and the first STEM bytes of longer ones, marked by a zero byte."""
+    """Distinct words without ASCII punctuation, A-Z lowered; the first STEM bytes of longer ones, marked by a zero byte; and
+    those that several distinct words begin with, marked by a one."""
     words = folded(text)
-    return words | {b"\0" + w[:STEM] for w in words if len(w) > STEM}
+    once, again = set(), set()
+    for w in words:
+        if len(w) > STEM:
+            w = w[:STEM]
+            (again if w in once else once).add(w)
+    return words | {b"\0" + w for w in once} | {b"\1" + w for w in again}
 
 
 def severity_labels(labels: DataFrame) -> DataFrame:
@@ -89,49 +97,49 @@ def _rows_of(at, keep: np.ndarray):
 
 
 def _cut(severity: np.ndarray, grade: np.ndarray) -> float:
-    """The severity that parts toxic rows from others best, by F1: half way between the last row above it and the next
-    below; REJECT if there are no toxic rows."""
+    """The severity that parts toxic rows from others best, by F-measure: half way between the last row above it and the next
+    below, precision counting 1 / BETA times as much as recall; REJECT if there are no toxic rows."""
     by = np.argsort(-severity, kind="stable")
     s, good = severity[by], np.cumsum(grade[by] > 0)
     if not len(s) or not good[-1]:
         return REJECT
-    f1 = np.where(np.r_[s[1:] != s[:-1], True], 2 * good / (np.arange(1, len(s) + 1) + good[-1]), -1)
+    f1 = np.where(np.r_[s[1:] != s[:-1], True], (1 + BETA**2) * good / (np.arange(1, len(s) + 1) + BETA**2 * good[-1]), -1)
     k = int(np.flatnonzero(f1 == f1.max())[-1])
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
 
 
+def _telling(rows: DataFrame) -> list[bytes]:
+    """The SCREENED words, in LEAST rows at least, whose rows' share of toxic ones lies farthest from that of all."""
+    rate = rows.agg(F.avg((F.col("grade") > 0).cast("double"))).first()[0] or 0.0
+    words = rows.select((F.col("grade") > 0).cast("long").alias("bad"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("bad").alias("bad"))
+    far = F.round(F.abs(F.col("bad") - rate * F.col("df")) / F.sqrt("df"), 9)
+    return collect_bounded(words.where(F.col("df") >= LEAST).orderBy(far.desc(), "word").limit(SCREENED), SCREENED, "words").sort_by([("word", "ascending")])["word"].to_pylist()
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[bytes, float], np.ndarray, float]:
     """Word weights, thresholds and the severity from which texts are rejected, from at most ``most`` labelled rows, chosen by
     a hash of the id; a FOLDS-th of them chooses penalty and cut. No usable labels or too few to keep
     some out: no weights."""
     rows = sample.word_rows(docs.select("doc_id", "text"), sample.chosen(severity_labels(labels), most), stemmed)
-    vocab = sample.vocabulary(rows, 4, MOST_WORDS)
+    vocab = _telling(rows)
     got, feats = sample.features(rows, vocab, most)
     grade = np.array(got["grade"], np.int64)
     n, m = len(grade), len(vocab)
     at = linear.csr(feats)
     if not n or not m:
         return {}, fit_ordinal(at, grade, m, 3)[1], REJECT
-    df = np.bincount(at[1], minlength=m)
-    y = (grade > 0).astype(float)
-    z = np.abs(linear.times_t(at, y - y.mean(), m)) / np.sqrt(np.maximum(df, 1))
-    keep = np.sort(np.argsort(-z, kind="stable")[:SCREENED])
-    to = np.full(m, -1)
-    to[keep] = np.arange(len(keep))
-    ok = to[at[1]] >= 0
-    at = at[0][ok], to[at[1]][ok]
     out = np.array([zlib.crc32(str(i).encode()) % FOLDS == 0 for i in got["doc_id"]])
     if out.all() or not out.any():
-        return {}, fit_ordinal(at, grade, len(keep), 3)[1], REJECT
+        return {}, fit_ordinal(at, grade, m, 3)[1], REJECT
     best, model = -np.inf, ({}, np.zeros(2), REJECT)
     for penalty in PENALTIES:
-        w, theta = fit_ordinal(_rows_of(at, ~out), grade[~out], len(keep), 3, penalty)
+        w, theta = fit_ordinal(_rows_of(at, ~out), grade[~out], m, 3, penalty)
         up, severity = _severity(linear.times(_rows_of(at, out), w, int(out.sum())), theta)
         steps = np.concatenate([np.ones((1, out.sum())), up, np.zeros((1, out.sum()))])
         k = np.arange(int(out.sum()))
         likely = np.log(np.maximum(steps[grade[out], k] - steps[grade[out] + 1, k], 1e-6)).sum()
         if likely > best:
-            best, model = likely, ({vocab[k]: float(x) for k, x in zip(keep, w) if x}, theta, _cut(severity, grade[out]))
+            best, model = likely, ({vocab[k]: float(x) for k, x in enumerate(w) if x}, theta, _cut(severity, grade[out]))
     return model
 
 
