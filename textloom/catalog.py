@@ -316,7 +316,7 @@ _TALKS = """talks AS (SELECT conv_id, count(*) AS turn_count, sum(length(coalesc
 
 @query(f"WITH {_TALKS} SELECT conv_id, turn_count, total_tokens, last_role, last_role NOT IN ('assistant', 'tool') AS missing_final FROM talks")
 def conversation_summary(spark, d):
-    return records.conversations(_table(spark, d, "conversations")).drop("messages")
+    return records.conversations(_table(spark, d, "conversations")).drop("messages", "has_tools")
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1")
