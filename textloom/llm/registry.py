@@ -10,6 +10,8 @@ from .ngram_join import op5_ngram_jaccard_join
 from .packing import op8_cutting_stock_packing
 from .pii import op2_boosted_pii_spans
 from .quality import op10_cotraining_quality
+from .resampling import SQL as RESAMPLING_SQL
+from .resampling import op11_overlap_resampling
 from .toxicity import op4_toxicity_severity
 from .url_filter import op3_host_reputation
 
@@ -24,7 +26,8 @@ QUERIES = {
     "op8_cutting_stock_packing": op8_cutting_stock_packing,
     "op9_qgram_decontamination": op9_qgram_decontamination,
     "op10_cotraining_quality": op10_cotraining_quality,
+    "op11_overlap_resampling": op11_overlap_resampling,
 }
 
 #: Methods that are fitted, hashed or iterative have no SQL; tests/llm compare those with brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_overlap_resampling": RESAMPLING_SQL}
