@@ -12,6 +12,8 @@ from .pii import op2_boosted_pii_spans
 from .quality import op10_cotraining_quality
 from .resampling import SQL as RESAMPLING_SQL
 from .resampling import op11_overlap_resampling
+from .spelling import SQL as SPELLING_SQL
+from .spelling import op12_spelling_variants
 from .toxicity import op4_toxicity_severity
 from .url_filter import op3_host_reputation
 
@@ -27,7 +29,8 @@ QUERIES = {
     "op9_qgram_decontamination": op9_qgram_decontamination,
     "op10_cotraining_quality": op10_cotraining_quality,
     "op11_overlap_resampling": op11_overlap_resampling,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 #: Methods that are fitted, hashed or iterative have no SQL; tests/llm compare those with brute force.
-ORACLE_SQL: dict[str, str] = {"op11_overlap_resampling": RESAMPLING_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_overlap_resampling": RESAMPLING_SQL, "op12_spelling_variants": SPELLING_SQL}
