@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op7_budgeted_chat_windows
 from .context_mixing import op6_context_mixing
 from .decontamination import op9_qgram_decontamination
+from .extraction import op13_html_blocks
 from .fingerprint import op1_minhash_fingerprints
 from .ngram_join import op5_ngram_jaccard_join
 from .packing import op8_cutting_stock_packing
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_cotraining_quality": op10_cotraining_quality,
     "op11_overlap_resampling": op11_overlap_resampling,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_html_blocks": op13_html_blocks,
 }
 
 #: Methods that are fitted, hashed or iterative have no SQL; tests/llm compare those with brute force.
