@@ -79,12 +79,20 @@ class Tokens:
         for w, a, b in zip(words, before, ends):
             self.known[w] = raw[4 * a + 4 : 4 * b]
 
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        """Words with A-Z lowered, but for those with a mark of U+0300 to U+036F (first byte CC or CD): the tokenizer composes
+        letter and mark before it lowers, and some marks compose with one case only."""
+        if b"\xcc" not in text and b"\xcd" not in text:
+            return text.lower().split()
+        return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in text.split()]
+
     def ids(self, batch: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Texts with special-token openers are encoded as they are."""
         if len(self.known) > CACHE_WORDS // 2:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        words = [() if b"<|" in t else t.lower().split() for t in batch]
+        words = [() if b"<|" in t else self._words(t) for t in batch]
         got = [list(map(known.get, w)) for w in words]
         missing: dict[bytes, None] = {}
         for w, g in zip(words, got):
