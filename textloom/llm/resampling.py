@@ -118,7 +118,7 @@ def totals(short: DataFrame, long: DataFrame, n: int, buckets: int) -> np.ndarra
 def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     """floor(1000 ln of the ratio of smoothed bucket shares, target over source)."""
     b, s_all, t_all = float(len(source)), float(source.sum()), float(target.sum())
-    return np.array([math.floor(1000 * math.log((t + 1.0) * (t_all + b) / ((s + 1.0) * (s_all + b)))) for s, t in zip(source.tolist(), target.tolist())], np.int64)
+    return np.array([math.floor(1000 * math.log((t + 1.0) * (s_all + b) / ((s + 1.0) * (t_all + b)))) for s, t in zip(source.tolist(), target.tolist())], np.int64)
 
 
 def weighted(docs: DataFrame, target: DataFrame, n: int = N, buckets: int = BUCKETS, size: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text") -> DataFrame:
@@ -187,7 +187,7 @@ SQL = f"""WITH docw AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id,
 ds AS MATERIALIZED (SELECT row, unnest(ws) AS w FROM docw), bs AS MATERIALIZED (SELECT unnest(ws) AS w FROM benw), texts AS (SELECT w FROM ds UNION SELECT w FROM bs), {CRC_SQL},
 bucket AS MATERIALIZED (SELECT w, (crc % {BUCKETS})::INT AS b FROM crc), s AS (SELECT b, count(*) AS s FROM ds JOIN bucket USING (w) GROUP BY 1), t AS (SELECT b, count(*) AS t FROM bs JOIN bucket USING (w) GROUP BY 1),
 allb AS (SELECT x.b, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t FROM (SELECT DISTINCT b FROM bucket) x LEFT JOIN s ON s.b = x.b LEFT JOIN t ON t.b = x.b),
-gain AS MATERIALIZED (SELECT b, floor(1000 * ln((t + 1) * ((SELECT count(*) FROM bs) + {BUCKETS}.0::DOUBLE) / ((s + 1) * ((SELECT count(*) FROM ds) + {BUCKETS}.0::DOUBLE))))::BIGINT AS g FROM allb),
+gain AS MATERIALIZED (SELECT b, floor(1000 * ln((t + 1) * ((SELECT count(*) FROM ds) + {BUCKETS}.0::DOUBLE) / ((s + 1) * ((SELECT count(*) FROM bs) + {BUCKETS}.0::DOUBLE))))::BIGINT AS g FROM allb),
 weights AS (SELECT row, sum(g)::BIGINT AS weight FROM ds JOIN bucket USING (w) JOIN gain USING (b) GROUP BY 1),
 scored AS (SELECT d.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('{SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM docw d LEFT JOIN weights USING (row)),
 noisy AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
