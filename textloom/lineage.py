@@ -24,12 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when Python ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _SAVED[path] = spark
+    return path
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back; discard() or the end of Python removes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     df.write.parquet(path)
-    _SAVED[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

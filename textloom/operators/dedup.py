@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import save
+from .components import components
+
 HASHES = 128
 BANDS = 16
 ROWS = 8
@@ -118,10 +121,10 @@ def _linked(items: DataFrame, threshold: float, forest: bool) -> DataFrame:
     """Compares all classes of each band's bucket. Small buckets share cells; one of more than CELL classes is dealt over
     a triangular grid of cells. Without ``forest`` a pair is taken in the first band that it shares."""
     reps = items.groupBy("content_hash").agg(F.min("id").alias("id"))
-    rows = _cut(items.join(reps, ["content_hash", "id"], "left_semi").select("id", signature(F.col("text")).alias("sig"))).where(F.size("sig") > 0)
+    rows = save(items.join(reps, ["content_hash", "id"], "left_semi").select("id", signature(F.col("text")).alias("sig")), "signatures").where(F.size("sig") > 0)
     bands = rows.select("id", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, slice(sig, b * {ROWS} + 1, {ROWS})))")).alias("b", "band"))
     many = bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
-    shared = _cut(bands.join(many, "band"))
+    shared = save(bands.join(many, "band"), "bands")
     cells = max(1, shared.count() // (2 * CELL))
     side = F.ceil(F.col("k") / CELL)
     dealt = shared.withColumn("mine", F.pmod(F.xxhash64("id"), side)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), side - 1)))
@@ -172,39 +175,9 @@ def _linked(items: DataFrame, threshold: float, forest: bool) -> DataFrame:
     return dealt.join(sigs, "id").groupBy("cell").applyInArrow(run, f"id_a {kind}, id_b {kind}, jaccard double")
 
 
-def groups_of(pairs: DataFrame, limit: int = 50) -> DataFrame:
-    """(text_id, group_id): connected components, named by their smallest id.
-
-    Each round takes the smallest label around and of the label itself (pointer jumping) and is checkpointed, as the
-    session's checkpoint folder allows; rounds stop when no label changes.
-    """
-    edges = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    edges = _cut(edges.union(edges.select("b", "a")).distinct())
-    label = _cut(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("l")))
-    for _ in range(limit):
-        near = edges.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = label.join(near, "a").select("a", F.least("l", "m").alias("l"))
-        jump = step.join(step.select(F.col("a").alias("l"), F.col("l").alias("j")), "l", "left")
-        new = _cut(jump.select("a", F.least("l", F.coalesce("j", "l")).alias("l")))
-        moved = new.join(label.withColumnRenamed("l", "was"), "a").where("l <> was").isEmpty()
-        label = new
-        if moved:
-            break
-    return label.select(F.col("a").alias("text_id"), F.col("l").alias("group_id"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="textloom-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
+def groups_of(pairs: DataFrame) -> DataFrame:
+    """(text_id, group_id): connected components of pairs (id_a, id_b), named by their smallest id."""
+    return components(pairs)
 
 
 def near_members(items: DataFrame, threshold: float = 0.7) -> DataFrame:
