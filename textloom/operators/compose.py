@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dedup import _cut
+from ..lineage import save
 from .items import ACTIVE
+from .ranking import first
 
 POOL = 1_000
 
@@ -79,10 +80,15 @@ def sample_random(items: DataFrame, size: int, seed: int = 0) -> DataFrame:
 
 
 def sample_important(items: DataFrame, issues: DataFrame, size: int) -> DataFrame:
-    """Items with most open issues, then those under review, then the longest."""
+    """Items with most open issues, then those under review, then the longest, then of the smallest id.
+
+    Histograms find the last item's key and a filter takes what comes before it, so no task sorts or holds the share.
+    """
     k = issues.where("status = 'open'").groupBy("text_id").agg(F.count("*").alias("open_issues"))
+    k = save(k, "open-issues")
     rows = items.join(k, items.id == k.text_id, "left").withColumn("open_issues", F.coalesce("open_issues", F.lit(0)))
-    return rows.orderBy(F.desc("open_issues"), F.desc(F.col("decision") == "review"), F.desc("tokens"), "id").limit(size)
+    rows = rows.withColumn("_review", F.coalesce(F.col("decision") == "review", F.lit(False)))
+    return first(rows, size, [("open_issues", True), ("_review", True), ("tokens", True), ("id", False)]).drop("_review")
 
 
 def sample_diverse(signatures: DataFrame, size: int) -> DataFrame:
@@ -93,7 +99,7 @@ def sample_diverse(signatures: DataFrame, size: int) -> DataFrame:
     comes before the pool's last at the time of the pass.
     """
     spark = signatures.sparkSession
-    rows = _cut(signatures.select(F.col("id").cast("long").alias("id"), "tokens", "sig", F.xxhash64("id").alias("h"))).where(F.size("sig") > 0)
+    rows = save(signatures.select(F.col("id").cast("long").alias("id"), "tokens", "sig", F.xxhash64("id").alias("h")), "signatures").where(F.size("sig") > 0)
     first = rows.orderBy(F.desc("tokens"), "id").limit(1).collect() if size > 0 else []
     ids, sigs = [r.id for r in first], [np.array(r.sig, np.int64) for r in first]
 

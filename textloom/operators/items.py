@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranking import numbered
 
 ACTIVE = ("keep", "restore")
 DECISIONS = ("keep", "review", "quarantine", "reject", "restore", "pending")
@@ -49,17 +50,19 @@ def filtered(items: DataFrame, issues: DataFrame | None = None, *, status=None,
     return items
 
 
-def pending_first() -> list:
-    """Undecided items first, then by decision; failed ingests before sound ones, then by id."""
+def pending_first(items: DataFrame) -> list:
+    """Undecided items first, then by decision; where the items say how their ingest went, failed before sound ones of the same
+    decision; then by id."""
     rank = F.lit(4)
     for i, d in reversed(list(enumerate(("pending", "review", "quarantine", "reject")))):
         rank = F.when(F.col("decision") == d, i).otherwise(rank)
-    return [rank, "id"]
+    failed = [F.when(F.col("ingest_status") == "error", 0).otherwise(1)] if "ingest_status" in items.columns else []
+    return [rank, *failed, "id"]
 
 
 def page(items: DataFrame, offset: int, limit: int, order=None) -> DataFrame:
     """One page, 1 to 5000 rows."""
-    return items.orderBy(*(order or pending_first())).offset(max(0, offset)).limit(max(1, min(5000, limit)))
+    return items.orderBy(*(order or pending_first(items))).offset(max(0, offset)).limit(max(1, min(5000, limit)))
 
 
 def corpus_stats(items: DataFrame) -> DataFrame:
@@ -112,10 +115,36 @@ def latest(rows: DataFrame, key: str, at: str = "created_at", unless: str = "sup
     return live.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def by_label(items: DataFrame, labels: DataFrame) -> DataFrame:
-    """Category to sorted item ids, of approved labels (doc_id, category)."""
-    rows = labels.join(items.select("id"), labels.doc_id == items.id, "left_semi")
-    return rows.groupBy("category").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"), F.count_distinct("doc_id").alias("n"))
+def labelled(items: DataFrame, labels: DataFrame, kind: str | None = None) -> DataFrame:
+    """Distinct (category, id) of labels (doc_id, category) on these items: approved ones where labels have a status, not
+    superseded ones, and of one label_type if ``kind`` is given."""
+    rows = labels.where(F.col("category").isNotNull())
+    if "status" in labels.columns:
+        rows = rows.where("status = 'approved'")
+    if "superseded_at" in labels.columns:
+        rows = rows.where("superseded_at is null")
+    if kind is not None:
+        rows = rows.where(F.col("label_type") == kind)
+    rows = rows.select("category", F.col("doc_id").alias("id")).join(items.select("id"), "id", "left_semi")
+    return rows.select("category", "id").distinct()
+
+
+def postings(items: DataFrame, labels: DataFrame, kind: str | None = None, size: int = 10_000) -> DataFrame:
+    """category, chunk, first_id, n, ids: each category's sorted item ids in chunks of ``size`` (the last may be shorter),
+    numbered from 0, so that a category of any size is no group. Labels as labelled() takes them.
+
+    Rows are numbered over the ranges of (category, id); a category's least number, one row a category, turns numbers into places.
+    """
+    rows = numbered(labelled(items, labels, kind), "category", "id", name="_at", start=0)
+    begins = rows.groupBy("category").agg(F.min("_at").alias("_from"))
+    rows = rows.join(begins, "category").withColumn("chunk", F.floor((F.col("_at") - F.col("_from")) / size))
+    return rows.groupBy("category", "chunk").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def by_label(items: DataFrame, labels: DataFrame, kind: str | None = None) -> DataFrame:
+    """category, ids, n: category to sorted item ids in one row, as a page shows them; postings() is the form for large
+    categories. Labels as labelled() takes them."""
+    return labelled(items, labels, kind).groupBy("category").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
 
 
 def prefer(pairs: DataFrame, choice) -> DataFrame:

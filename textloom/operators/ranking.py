@@ -47,7 +47,7 @@ def boundary(df: DataFrame, k: int, order: list[tuple[str, bool]]) -> tuple[list
     """Key of the k-th row in ``order``, (column, descending) pairs, and how many rows with just that key are among the
     first k; None if there are no more than k rows.
 
-    Column by column a histogram of at most BINS bins (for text: of the next two bytes), with each bin's least and
+    Column by column a histogram of about BINS bins (for text: of the next two bytes), with each bin's least and
     greatest value, tells the bin that holds the k-th row; only that bin's rows are counted in the next pass. Nulls come last;
     NaN is not expected.
     """
@@ -76,7 +76,7 @@ def boundary(df: DataFrame, k: int, order: list[tuple[str, bool]]) -> tuple[list
             value = None
             while lo is not None:
                 width = (hi - lo) // BINS + 1 if whole else (hi - lo) / BINS or 1.0
-                b = F.floor((v - F.lit(lo)) / F.lit(width)).cast("long")
+                b = F.call_function("div", v, F.lit(width)) if whole else F.floor((v - F.lit(lo)) / F.lit(width)).cast("long")
                 bins = here.where(v.between(lo, hi)).groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).collect()
                 found, need = _bin(sorted(bins, key=lambda r: -r.b if down else r.b), need)
                 if found is None or found.lo == found.hi:

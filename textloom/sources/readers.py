@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.normalize import trimmed
+from ..lineage import save
 
 # Extensions taken and fields that may hold the text, in order.
 EXTENSIONS = (".txt", ".jsonl", ".json", ".csv", ".tsv", ".md", ".jsonl.gz", ".parquet")
 TEXT_FIELDS = ("text", "content", "message", "prompt", "completion", "response", "answer", "output")
-ZIP_BYTES = 1 << 30
 HEAD = 1024
+FEW_BLOCKS = 100_000
 
 
 def decode(content: Column, limit: int | None = None) -> Column:
@@ -74,19 +75,29 @@ def sniffed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, text: Column) -> DataFrame:
-    """Items of row-wise files (source_uri, at: bytes where the row's block begins, and its columns): text, the row's number
-    in its file, relative_path ``stem_number`` and the other columns as JSON metadata."""
-    order = Window.partitionBy("source_uri").orderBy("at", "n")
+    """Items of row-wise files (source_uri, at: bytes where the row's block begins, n: growing in the block, and its columns):
+    text, the row's number in its file, relative_path ``stem_number`` and the other columns as JSON metadata.
+
+    A first pass counts each block's rows, sums over a file's blocks give where each block begins, and a second pass numbers
+    rows within their block. Only blocks, one row for 128 MB or a file, are gathered by file; rows stay where they are
+    read as long as the blocks are few enough to be sent to all tasks, else they meet their block in a shuffle. ``n`` must count
+    the block's rows without gaps, as line_rows() does.
+    """
     name = F.regexp_replace(F.element_at(F.split("source_uri", "/"), -1), r"\.[^.]*$", "")
     rest = [c for c in rows.columns if c not in ("source_uri", "at", "n")]
-    out = rows.withColumn("row", F.row_number().over(order) - 1).withColumn("text", text)
+    blocks = save(rows.groupBy("source_uri", "at").agg(F.count("*").alias("_k"), F.min("n").alias("_n")), "blocks")
+    before = Window.partitionBy("source_uri").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    begins = blocks.select("source_uri", "at", "_n", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_from"))
+    if blocks.count() <= FEW_BLOCKS:
+        begins = F.broadcast(begins)
+    out = rows.join(begins, ["source_uri", "at"]).withColumn("row", F.col("_from") + F.col("n") - F.col("_n")).withColumn("text", text)
     return out.select("source_uri", "row", F.concat_ws("_", name, F.col("row").cast("string")).alias("relative_path"), "text", F.to_json(F.struct(*rest)).alias("metadata"))
 
 
 def line_rows(spark: SparkSession, path: str) -> DataFrame:
-    """source_uri, at, n, value of all lines that are not blank, for numbered()."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("source_uri"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
-    return rows.where(F.col("value").rlike(f"[^{T.SPACE}]"))
+    """source_uri, at, n, value of all lines that are not blank, for numbered(); n counts a task's lines after the filter."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("source_uri"), F.col("_metadata.file_block_start").alias("at"), "value")
+    return rows.where(F.col("value").rlike(f"[^{T.SPACE}]")).select("source_uri", "at", F.monotonically_increasing_id().alias("n"), "value")
 
 
 def json_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -122,35 +133,6 @@ def snapshot(spark: SparkSession, path: str, split: str = "train", text_column:
     return rows.select(F.col(text_column).cast("string").alias("text"), F.to_json(F.struct("*")).alias("metadata"))
 
 
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    """source_uri, member, text of ZIP members; absolute and parent paths are refused, as is more than 1 GiB unpacked."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
-
-    def run(batches):
-        import io
-        import zipfile
-
-        for pdf in batches:
-            out = []
-            for uri, content in zip(pdf["path"], pdf["content"]):
-                z = zipfile.ZipFile(io.BytesIO(content))
-                if sum(i.file_size for i in z.infolist()) > ZIP_BYTES:
-                    raise ValueError(f"{uri}: more than {ZIP_BYTES} bytes")
-                for i in z.infolist():
-                    if i.filename.startswith(("/", "\\")) or ".." in i.filename.replace("\\", "/").split("/"):
-                        raise ValueError(f"{uri}: unsafe member {i.filename}")
-                    if not i.is_dir():
-                        b = z.read(i)
-                        try:
-                            t = b.decode("utf-8-sig")
-                        except UnicodeDecodeError:
-                            t = b.decode("latin-1")
-                        out.append((uri, i.filename, t))
-            yield pd.DataFrame(out, columns=["source_uri", "member", "text"])
-
-    return files.select("path", "content").mapInPandas(run, "source_uri string, member string, text string")
-
-
 def items(rows: DataFrame, dataset: str) -> DataFrame:
     """Registered items of (source_uri, text) rows: hashes, counts, language, flags; null texts are empty."""
     from ..functions.normalize import not_nfc
