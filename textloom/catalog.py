@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lineage
 from .config import Thresholds
 from .functions import normalize as N
 from .functions import text as T
 from .operators import compose, contamination, dedup, quality, records, review, rewrite, store, vectors, versions
 from .operators import items as I
+from .streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -311,6 +313,28 @@ def strip_tags_pages(spark, d):
     return _table(spark, d, "pages").select("page_id", T.strip_tags(T.text_of("html")).alias("stripped"))
 
 
+_LINE = f"regexp_replace(l, '\\A[{T.SPACE}]+|[{T.SPACE}]+\\z', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT {_LINE} AS text FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)), b AS (SELECT {_LINE} AS text FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark))
+SELECT sha256(text) AS content_hash, text, length(text) AS char_count, length(text) // 4 AS tokens FROM d WHERE text <> '' AND text NOT IN (SELECT text FROM b WHERE text IS NOT NULL)""")
+def ingested_lines(spark, d):
+    """The table that a stream over the documents' files makes of their lines, less the lines of the benchmark."""
+
+    def lines(rows):
+        return rows.select(F.explode(F.split("text", "\n")).alias("l")).select(F.lit("documents").alias("source_uri"), N.trimmed(F.col("l")).alias("text")).where("text <> ''")
+
+    def stream(glob):  # a stream reads a folder or a pattern, and the table may be one file
+        reader = spark.readStream.schema(_table(spark, d, "documents").schema)
+        return lines((reader.option("pathGlobFilter", glob) if glob else reader).parquet(f"{d}/documents.parque[t]"))
+
+    at = lineage.folder(spark, "ingested")
+    known = lines(_table(spark, d, "benchmark")).select(F.sha2("text", 256).alias("content_hash"))
+    ingest.ingest(spark, stream, f"{at}/table", f"{at}/checkpoint", known).awaitTermination()
+    schema = "content_hash string, text string, source_uri string, char_count long, tokens long"
+    return spark.read.schema(schema).parquet(f"{at}/table").drop("source_uri")
+
+
 _TALKS = """talks AS (SELECT conv_id, count(*) AS turn_count, sum(length(coalesce(text, '')) // 4)::BIGINT AS total_tokens, arg_max(role, turn) AS last_role, arg_min(coalesce(text, ''), turn) AS first_text FROM conversations GROUP BY 1)"""
 
 
@@ -503,6 +527,22 @@ def items_by_label(spark, d):
     return got.select("category", "n", F.array_join(F.sort_array(F.transform("ids", lambda x: x.cast("string"))), ",").alias("ids"))
 
 
+@query("""WITH c AS (SELECT DISTINCT CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' ELSE 'good' END AS category, doc_id FROM labels WHERE quality = 1 OR toxic = 1 OR doc_id % 2 = 0),
+p AS (SELECT category, doc_id, row_number() OVER (PARTITION BY category ORDER BY doc_id) - 1 AS place FROM c WHERE doc_id IN (SELECT doc_id FROM documents))
+SELECT category, place // 64 AS chunk, min(doc_id) AS first_id, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM p GROUP BY ALL""")
+def label_postings(spark, d):
+    c = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("good")
+    status = F.when((F.col("quality") == 1) | (F.col("toxic") == 1) | (F.col("doc_id") % 2 == 0), "approved").otherwise("pending")
+    got = I.postings(_items(spark, d), _table(spark, d, "labels").select("doc_id", c.alias("category"), status.alias("status")), size=64)
+    return got.select("category", "chunk", "first_id", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(f"""{_ALL}, k AS (SELECT text_id, count(*) AS k FROM issues GROUP BY 1) SELECT id, coalesce(k, 0) AS open_issues, tokens FROM items LEFT JOIN k ON id = text_id ORDER BY coalesce(k, 0) DESC, (decision = 'review') DESC, tokens DESC, id LIMIT (SELECT count(*) * 3 // 10 FROM items)""")
+def top_share_important(spark, d):
+    items = _items(spark, d)
+    return compose.sample_important(items, _issues(spark, d), items.count() * 3 // 10).select("id", "open_issues", "tokens")
+
+
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id AS id, list_transform(list_zip(embedding, (SELECT e FROM q)), lambda z: z[1]::DOUBLE * z[2]::DOUBLE) AS p, embedding, (SELECT e FROM q) AS e FROM embeddings)
 SELECT id, round(list_sum(p) / ((sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9) * (sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9)), 6) AS score FROM s ORDER BY score DESC, id LIMIT 10""")
 def vector_search(spark, d):
