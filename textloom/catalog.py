@@ -503,6 +503,23 @@ def spaced_pages(spark, d):
     return _table(spark, d, "pages").select("page_id", N.collapse_whitespace(T.text_of("html")).alias("spaced"))
 
 
+def _plain_pattern(p):
+    """A line pattern for DuckDB, which has neither possessive repeats nor flags for Unicode."""
+    for old, new in (("(?iu)", "(?i)"), ("(?U)", ""), ("*+", "*"), ("++", "+"), ("}+", "}"), ("\\d", "\\p{Nd}")):
+        p = p.replace(old, new)
+    return p
+
+
+_BOILER = " OR ".join(f"regexp_matches(x, '{_plain_pattern(p)}')" for p in N.BOILERPLATE_LINES)
+
+
+@query(f"""WITH l AS (SELECT doc_id AS id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT ({_BOILER} OR (regexp_matches(x, '{_plain_pattern(N.BOILERPLATE_LINKS[0])}') AND len(list_filter(regexp_extract_all(x, '[^{T.SPACE}]+'), lambda t: NOT regexp_matches(t, '{N.BOILERPLATE_LINKS[1]}'))) = 0))) AS ls FROM documents),
+k AS (SELECT id, list_filter(ls, lambda x, i: i = 1 OR NOT regexp_matches(x, '[^{T.SPACE}]') OR x <> ls[i - 1]) AS ls FROM l)
+SELECT id, regexp_replace(array_to_string(ls, chr(10)), '\\A[{T.SPACE}]+|[{T.SPACE}]+\\z', '', 'g') AS text FROM k""")
+def boilerplate_removed(spark, d):
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), N.remove_boilerplate(T.text_of("text")).alias("text"))
+
+
 @query()
 def normalize_job(spark, d):
     return rewrite.counters(rewrite.normalized(_items(spark, d)))

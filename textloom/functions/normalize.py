@@ -11,28 +11,31 @@ from pyspark.sql import functions as F
 
 from .text import PRIVACY, SPACE, let, strip_tags, text_of
 
-# What the normalisation steps look for.
+# What the normalisation steps look for. The line patterns are possessive, so that long lines take linear time.
 BLANKS = r"[ \t\x0b\f\x{a0}\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}]+"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 BOILERPLATE_STARTS = (
     "cookie", "advertis", "advertisement", "subscribe", "sign ?up", "log ?in", "share this", "follow us", "click here", "all rights reserved",
     "copyright ©", "skip to (?:main )?content", "jump to comments",
 )
-STEPS = ("html", "unicode", "whitespace", "boilerplate")
-
-_ROW = (
+BOILERPLATE_LINES = (
     rf"(?iu)\A[{SPACE}]*+\[?edit\]?[{SPACE}]*+\z",
     rf"(?iu)\A[{SPACE}]*+(?:{'|'.join(BOILERPLATE_STARTS)})",
-    # a table's rule, a line of dashes, and enumeration marks alone
     rf"\A[{SPACE}]*+\|[{SPACE}:|-]{{3,}}+\z",
     rf"\A[-*_](?:[{SPACE}]*+[-*_]){{2}}[-*_{SPACE}]*+\z",
     rf"(?U)\A[{SPACE}]*+(?:\d++[{SPACE}]*+[.)][{SPACE}]*+){{1,3}}\z",
 )
+BOILERPLATE_LINKS = (rf"\A[{SPACE}]*+https?://[^{SPACE}]", "^https?://.")
+STEPS = ("html", "unicode", "whitespace", "boilerplate")
+
+#: The characters of SPACE, and those that may end a line's text.
+_SPACES = "".join(c for c in map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_IN_LINE = _SPACES.replace("\n", "")
 
 
 def trimmed(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def _decoded(text: Column) -> Column:
@@ -58,20 +61,20 @@ def _compatible(text: Column) -> Column:
 def collapse_whitespace(text: Column) -> Column:
     """Line ends as line feeds, runs of blanks as one, none at line ends, one empty line at most, none around the text."""
     text = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\A\x{feff}+", "")
-    text = F.regexp_replace(text, BLANKS, " ")
-    inner = SPACE.replace(r"\x09-\x0d", r"\x09\x0b-\x0d")
-    text = F.regexp_replace(text, rf"(?<![{inner}])[{inner}]++(?=\n|\z)", "")
+    one = BLANKS.removesuffix("+")
+    text = F.regexp_replace(text, rf"{one}{{2,}}+|{one.replace('[ ', '[')}", " ")  # a single plain blank stays as it is
+    text = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.rtrim(x, F.lit(_IN_LINE))), "\n")
     return trimmed(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def is_boilerplate(line: Column) -> Column:
     """Whether a line is an edit link, a notice, links alone, a table's rule, a line of dashes or enumeration marks."""
     found = F.lit(False)
-    for p in _ROW:
+    for p in BOILERPLATE_LINES:
         found = found | line.rlike(p)
+    first, each = BOILERPLATE_LINKS
     tokens = F.regexp_extract_all(line, F.lit(f"[^{SPACE}]+"), F.lit(0))
-    links = line.rlike(rf"\A[{SPACE}]*+https?://[^{SPACE}]") & F.forall(tokens, lambda t: t.rlike("^https?://."))
-    return found | links
+    return found | (line.rlike(first) & F.forall(tokens, lambda t: t.rlike(each)))
 
 
 def remove_boilerplate(text: Column) -> Column:
@@ -84,15 +87,19 @@ def remove_boilerplate(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Struct of the normalised text and a flag per step that changed it; null counts as empty."""
+    """Struct of the normalised text and a flag per step that changed it; null counts as empty. Each step runs once a text."""
     text = text_of(text)
     plain = strip_tags(_decoded(text))
-    clean = F.regexp_replace(_compatible(plain), CONTROLS, "")
+    begun = F.struct(text.alias("text"), plain.alias("plain"), F.regexp_replace(_compatible(plain), CONTROLS, "").alias("clean"))
+
+    def finished(b, spaced):
+        def of(out):
+            changes = [(b["plain"] != b["text"]).alias("html"), (b["clean"] != b["plain"]).alias("unicode"), (spaced != b["clean"]).alias("whitespace"), (out != spaced).alias("boilerplate")]
+            return F.struct(out.alias("text"), *changes)
+
+        return let(remove_boilerplate(spaced), of)
 
-    spaced = collapse_whitespace(clean)
-    out = remove_boilerplate(spaced)
-    changes = [(plain != text).alias("html"), (clean != plain).alias("unicode"), (spaced != clean).alias("whitespace"), (out != spaced).alias("boilerplate")]
-    return F.struct(out.alias("text"), *changes)
+    return let(begun, lambda b: let(collapse_whitespace(b["clean"]), lambda spaced: finished(b, spaced)))
 
 
 def not_nfc(text: Column) -> Column:
