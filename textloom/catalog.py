@@ -9,7 +9,7 @@ from . import lineage
 from .config import Thresholds
 from .functions import normalize as N
 from .functions import text as T
-from .operators import compose, contamination, dedup, quality, records, review, rewrite, store, vectors, versions
+from .operators import compose, contamination, dedup, quality, records, review, rewrite, store, stored_versions, vector_index, vectors, versions
 from .operators import items as I
 from .streaming import ingest
 
@@ -110,6 +110,33 @@ def quality_issues(spark, d):
     return _issues(spark, d)
 
 
+_EXACT = f"""WITH {_ITEMS}, m AS (SELECT content_hash AS group_id, id AS text_id, row_number() OVER (PARTITION BY content_hash ORDER BY tokens DESC, id) = 1 AS is_canonical, count(*) OVER (PARTITION BY content_hash) AS k FROM items),
+members AS (SELECT group_id, text_id, 1.0::DOUBLE AS similarity, is_canonical FROM m WHERE k > 1)"""
+_OWN = {"src0": {"min_length": 2000.0, "spam_threshold": 0.0}, "src1": {"code_threshold": 0.0, "max_length": 5000.0}}
+
+
+@query(f"""WITH {_ITEMS}, {_SCORES}, o AS (SELECT *, CASE dataset_id WHEN 'src0' THEN 2000 ELSE 10 END AS least, CASE dataset_id WHEN 'src1' THEN 5000 ELSE 100000 END AS most, CASE dataset_id WHEN 'src0' THEN 0 ELSE 0.7 END AS spam, CASE dataset_id WHEN 'src1' THEN 0 ELSE 0.5 END AS code FROM scores)
+SELECT id AS text_id, 'too_short' AS issue_type, least::DOUBLE AS threshold FROM o WHERE length < least UNION ALL SELECT id, 'too_long', most FROM o WHERE length > most UNION ALL SELECT id, 'repetition', 0.3 FROM o WHERE repetition > 0.3
+UNION ALL SELECT id, 'spam_score', spam FROM o WHERE spam_score > spam UNION ALL SELECT id, 'code_ratio', code FROM o WHERE code_ratio > code UNION ALL SELECT id, 'toxicity', 0.8 FROM o WHERE toxicity > 0.8 UNION ALL SELECT id, 'pii_score', 0.5 FROM o WHERE pii_score > 0.5""")
+def issues_by_own_thresholds(spark, d):
+    """Issues under thresholds that two of the datasets override."""
+    entries = F.array(*(F.struct(F.lit(s).alias("dataset_id"), F.create_map(*(F.lit(x) for kv in own.items() for x in kv)).alias("thresholds")) for s, own in _OWN.items()))
+    datasets = _items(spark, d).select("dataset_id").distinct().join(spark.range(1).select(F.inline(entries)), "dataset_id")
+    return quality.issues(_items(spark, d), datasets=datasets).select("text_id", "issue_type", "threshold")
+
+
+@query(f"""{_EXACT}, c AS (SELECT group_id, min(text_id) FILTER (is_canonical) AS canonical, max(text_id) FILTER (NOT is_canonical) AS k FROM members GROUP BY 1)
+SELECT id, CASE WHEN id IN (SELECT k FROM c) THEN 'keep' WHEN id IN (SELECT canonical FROM c) THEN 'quarantine' ELSE decision END AS decision, coalesce(id IN (SELECT k FROM c), false) AS is_canonical FROM items""")
+def duplicate_picks(spark, d):
+    """Of each group its last member is kept instead of the canonical one."""
+    items = _items(spark, d)
+    members = dedup.exact_members(items)
+    pairs = dedup.review_pairs(members).groupBy("group_id").agg(F.max("other").alias("keep"), F.first("canonical").alias("other"))
+    rows, now = dedup.pick(items, members, pairs)
+    best = now.where("is_canonical").select(F.col("text_id").alias("id"), F.lit(True).alias("is_canonical"))
+    return rows.join(best, "id", "left").select("id", "decision", F.coalesce("is_canonical", F.lit(False)).alias("is_canonical"))
+
+
 @query(f"{_ALL} SELECT issue_type, count(*) AS n FROM issues GROUP BY 1")
 def issues_by_type(spark, d):
     return quality.by_type(_issues(spark, d))
@@ -152,8 +179,6 @@ def exact_dup_groups(spark, d):
     return dedup.exact_groups(_items(spark, d))
 
 
-_EXACT = f"""WITH {_ITEMS}, m AS (SELECT content_hash AS group_id, id AS text_id, row_number() OVER (PARTITION BY content_hash ORDER BY tokens DESC, id) = 1 AS is_canonical, count(*) OVER (PARTITION BY content_hash) AS k FROM items),
-members AS (SELECT group_id, text_id, 1.0::DOUBLE AS similarity, is_canonical FROM m WHERE k > 1)"""
 
 
 @query(f"{_EXACT} SELECT * FROM members")
@@ -567,6 +592,52 @@ def vector_search(spark, d):
     return vectors.top_k(v, v.orderBy("id").first()["vector"], 10)
 
 
+def _neighbours_sql(where="TRUE"):
+    dot = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+    norm = "(sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9)"
+    return f"""WITH v AS MATERIALIZED (SELECT vec_id AS id, embedding AS e, {norm.format('embedding')} AS n FROM embeddings), q AS (SELECT * FROM v WHERE id % 20 = 0),
+s AS (SELECT q.id AS query_id, v.id, round({dot.format('q.e', 'v.e')} / (q.n * v.n), 6) AS score FROM q JOIN v ON {where})
+SELECT query_id, id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5"""
+
+
+def _vectors(spark, d):
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query(_neighbours_sql())
+def vector_neighbours(spark, d):
+    """Exact neighbours of every twentieth vector among all."""
+    v = _vectors(spark, d)
+    return vector_index.exact(v, vector_index.of_items(v, v.where("id % 20 = 0")), 5)
+
+
+@query(_neighbours_sql("v.id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND length(coalesce(text, '')) >= 500)"))
+def vector_neighbours_filtered(spark, d):
+    """Exact neighbours among vectors whose item passes filters."""
+    v = _vectors(spark, d)
+    left = I.filtered(I.from_documents(_table(spark, d, "documents")), language="en", min_length=500)
+    return vector_index.exact(vector_index.joined(v, left), vector_index.of_items(v, v.where("id % 20 = 0")), 5)
+
+
+@query()
+def vector_index_neighbours(spark, d):
+    """The same neighbours from an inverted index; tests measure its recall."""
+    v, at = _vectors(spark, d), lineage.folder(spark, "index")
+    vector_index.build(v, at, cells=32)
+    return vector_index.search(spark, at, vector_index.of_items(v, v.where("id % 20 = 0")), 5, probes=16)
+
+
+@query(f"""WITH {_ITEMS}, a AS (SELECT id, content_hash FROM items WHERE decision = 'keep'), b AS (SELECT id, CASE WHEN id % 50 = 0 THEN sha256(lower(text)) ELSE content_hash END AS content_hash FROM items WHERE decision = 'keep' AND id % 70 <> 1 OR id % 90 = 7)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.content_hash <> b.content_hash""")
+def stored_version_diff(spark, d):
+    """The difference of two written versions, from the parts whose digests differ."""
+    items, at = _items(spark, d), lineage.folder(spark, "versions")
+    hashed = F.when(F.col("id") % 50 == 0, F.sha2(F.lower("text"), 256)).otherwise(F.col("content_hash")).alias("content_hash")
+    stored_versions.write(items.where("decision = 'keep'").select("id", "content_hash"), f"{at}/old")
+    stored_versions.write(items.where("decision = 'keep' and id % 70 <> 1 or id % 90 = 7").select("id", hashed), f"{at}/new")
+    return stored_versions.changed(spark, f"{at}/old", f"{at}/new")
+
+
 @query()
 def kmeans_clusters(spark, d):
     return vectors.clusters(_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import save
-from .items import ACTIVE
+from .items import ACTIVE, filtered
 from .ranking import first
 
 POOL = 1_000
@@ -32,6 +32,17 @@ def derive(items: DataFrame, dataset: str, ids: DataFrame | None = None) -> Data
     return items.withColumn("new_id", new_id(dataset))
 
 
+def derive_filtered(items: DataFrame, labels: DataFrame, dataset: str, issues: DataFrame | None = None, **filters) -> tuple[DataFrame, DataFrame]:
+    """A new dataset in one call: ingested items that pass the filters of items.filtered(), under new ids, and their labels
+    (doc_id, ...) with new ids as doc_id."""
+    if "ingest_status" in items.columns:
+        items = items.where("ingest_status = 'done'")
+    rows = derive(filtered(items, issues, **filters), dataset)
+    copied = copy_labels(labels, rows).withColumn("doc_id", F.col("new_id")).drop("new_id")
+    rows = rows.withColumn("id", F.col("new_id")).drop("new_id")
+    return (rows.withColumn("dataset_id", F.lit(dataset)) if "dataset_id" in rows.columns else rows), copied
+
+
 def copy_labels(labels: DataFrame, derived: DataFrame) -> DataFrame:
     return labels.join(derived.select(F.col("id").alias("doc_id"), "new_id"), "doc_id")
 

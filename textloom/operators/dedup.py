@@ -206,6 +206,18 @@ def review_pairs(members: DataFrame) -> DataFrame:
     return members.join(first, "group_id").where("text_id <> canonical").select("group_id", "canonical", F.col("text_id").alias("other"))
 
 
+def pick(items: DataFrame, members: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and members after a reviewer's choices (group_id, keep, other) of pairs: the kept text has decision keep, the other
+    quarantine, and the kept one is canonical where the other was. Of choices that contradict each other keep wins."""
+    kept, gone = choices.select(F.col("keep").alias("id"), F.lit("keep").alias("_to")), choices.select(F.col("other").alias("id"), F.lit("quarantine").alias("_to"))
+    decided = kept.unionByName(gone).groupBy("id").agg(F.min("_to").alias("_to"))
+    rows = items.join(decided, "id", "left").withColumn("decision", F.coalesce("_to", "decision")).drop("_to")
+    was = members.where("is_canonical").select("group_id", F.col("text_id").alias("other"))
+    now = choices.join(was, ["group_id", "other"]).groupBy("group_id").agg(F.min("keep").alias("_new"))
+    swapped = members.join(now, "group_id", "left").withColumn("is_canonical", F.when(F.col("_new").isNotNull(), F.col("text_id") == F.col("_new")).otherwise(F.col("is_canonical")))
+    return rows, swapped.drop("_new")
+
+
 def members_of(members: DataFrame, items: DataFrame) -> DataFrame:
     w = Window.partitionBy("group_id").orderBy(F.desc("is_canonical"), "text_id")
     return members.join(items.select(F.col("id").alias("text_id"), "tokens", "decision"), "text_id").withColumn("place", F.row_number().over(w))

@@ -19,13 +19,21 @@ def scores(items: DataFrame) -> DataFrame:
     return items.select("id", "dataset_id", length.alias("length"), *(F.round(c, 6).alias(n) for n, c in named.items()))
 
 
-def issues(items: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """One row per rule that a text breaks, strictly; evaluated in one pass over the text."""
+def issues(items: DataFrame, thresholds: Thresholds = Thresholds(), datasets: DataFrame | None = None) -> DataFrame:
+    """One row per rule that a text breaks, strictly; evaluated in one pass over the text.
+
+    ``datasets`` (dataset_id, thresholds: map of a rule's name to its value) overrides ``thresholds`` for items of a dataset;
+    names it lacks, null values and datasets it lacks keep the default. Zero counts.
+    """
     th = thresholds
-    rules = [("too_short", "length", th.min_length), ("too_long", "length", th.max_length), ("repetition", "repetition", th.repetition), ("spam_score", "spam_score", th.spam), ("code_ratio", "code_ratio", th.code), ("toxicity", "toxicity", th.toxicity), ("pii_score", "pii_score", th.pii)]
-    rows = F.array(*(F.struct(F.lit(name).alias("issue_type"), F.col(c).alias("score"), F.lit(float(v)).alias("threshold")) for name, c, v in rules))
-    broken = F.filter(rows, lambda r: F.when(r["issue_type"] == "too_short", r["score"] < r["threshold"]).otherwise(r["score"] > r["threshold"]))
-    out = scores(items).select(F.col("id").alias("text_id"), "dataset_id", F.explode(broken).alias("i"))
+    rules = [("too_short", "length", "min_length"), ("too_long", "length", "max_length"), *((c, c, c.split("_")[0]) for c in ("repetition", "spam_score", "code_ratio", "toxicity", "pii_score"))]
+    rows, own = scores(items), lambda name: F.lit(None).cast("double")
+    if datasets is not None:
+        rows = rows.join(datasets.select("dataset_id", F.col("thresholds").alias("_own")), "dataset_id", "left")
+        own = lambda name: F.coalesce(F.try_element_at("_own", F.lit(name)), F.try_element_at("_own", F.lit(f"{name}_threshold"))).cast("double")
+    found = F.array(*(F.struct(F.lit(name).alias("issue_type"), F.col(c).alias("score"), F.coalesce(own(key), F.lit(float(getattr(th, key)))).alias("threshold")) for name, c, key in rules))
+    broken = F.filter(found, lambda r: F.when(r["issue_type"] == "too_short", r["score"] < r["threshold"]).otherwise(r["score"] > r["threshold"]))
+    out = rows.select(F.col("id").alias("text_id"), "dataset_id", F.explode(broken).alias("i"))
     return out.select("text_id", "dataset_id", "i.issue_type", "i.score", "i.threshold", F.lit("open").alias("status"))
 
 

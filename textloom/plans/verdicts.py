@@ -8,6 +8,8 @@ import posixpath
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import save
+
 # What a plugin may ask for.
 PERMISSIONS = ("filesystem:input", "filesystem:output", "network:approved", "model:cache")
 
@@ -57,6 +59,46 @@ def automated(labels: DataFrame, least: float, enabled: bool = True, preview: bo
     return labels.withColumn("status", F.when(sure, "approved").otherwise(F.col("status"))), audit
 
 
+def out_of_fold(rows: DataFrame, classes: int, folds: int = 5, features: int = 1 << 16, penalty: float = 0.01) -> DataFrame:
+    """id, label, probabilities of rows (id, text, label: int from 0), each from a model that has not seen it: hashed words and
+    multinomial logistic regression, fitted by Spark on the rows of the other folds. Folds go by a hash of the id.
+
+    A class that the other folds lack has probability 0. Null texts have no words; rows without a label are left out.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    some = rows.where("label is not null").select("id", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("id"), F.lit(folds)).alias("fold"), words.alias("words"))
+    hashed = save(HashingTF(numFeatures=features, binary=True, inputCol="words", outputCol="features").transform(some).drop("words"), "features")
+    zeros = F.array_repeat(F.lit(0.0), classes)
+    parts = []
+    for fold in range(folds):
+        rest, here = hashed.where(F.col("fold") != fold), hashed.where(F.col("fold") == fold)
+        if here.isEmpty():
+            continue
+        if rest.isEmpty():
+            raise ValueError("all labelled rows are in one fold")
+        model = LogisticRegression(family="multinomial", regParam=penalty, maxIter=50, standardization=False).fit(rest)
+        made = vector_to_array("probability")
+        parts.append(model.transform(here).select("id", "label", F.slice(F.concat(made, zeros), 1, classes).alias("probabilities")))
+    if not parts:
+        return rows.limit(0).select("id", F.col("label").cast("int").alias("label"), zeros.alias("probabilities"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def label_issues(rows: DataFrame, classes: int, folds: int = 5) -> DataFrame:
+    """Issues (text_id, issue_type possible_label_error, score: the margin, evidence) of rows' labels (id, text, label) that
+    out-of-fold probabilities contradict, by suspect_labels()."""
+    found = suspect_labels(out_of_fold(rows, classes, folds))
+    evidence = F.to_json(F.struct("label", "likely"))
+    return found.select(F.col("id").alias("text_id"), F.lit("possible_label_error").alias("issue_type"), F.col("margin").alias("score"), F.lit(0.0).alias("threshold"), F.lit("open").alias("status"), evidence.alias("evidence"))
+
+
 def suspect_labels(scores: DataFrame) -> DataFrame:
     """Confident learning on rows (id, label: int, probabilities: array): id, label, likely, margin of the labels that another
     class contradicts. A class's bar is the mean probability it has in rows that carry it; a label is suspect if a

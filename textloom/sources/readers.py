@@ -113,13 +113,25 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """CSV with a header; without ``sep`` the delimiter of , ; tab and | that is most frequent in the first KiB is taken."""
-    if sep is None:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
-        head = files.select(F.substring("content", 1, HEAD).alias("head")).limit(1).collect()
-        text = bytes(head[0].head).decode("utf-8", "replace") if head else ""
-        sep = max(",;\t|", key=text.count)
-    return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path, sep=sep)
+    """CSV with a header; without ``sep`` each file is read by the delimiter of , ; tab and | that is most frequent in its
+    first KiB (of equals the first named), and files of different delimiters are joined by the names of their columns."""
+
+    def read(where, by):
+        return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("recursiveFileLookup", "true").csv(where, sep=by)
+
+    if sep is not None:
+        return read(path, sep)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+    head = F.decode(F.substring("content", 1, HEAD), "ISO-8859-1")
+    counts = F.array(*(F.struct(F.regexp_count(head, F.lit(f"[{c}]")).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("sep")) for i, c in enumerate(",;\t|")))
+    by = {r.sep: r.paths for r in files.select("path", F.array_max(counts)["sep"].alias("sep")).groupBy("sep").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()}
+    if not by:
+        return read(path, ",")
+    parts = [read(by[c], c) for c in ",;\t|" if c in by]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def parquet(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
