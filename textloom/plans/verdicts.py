@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import save
+from ..operators.ranking import numbered
 
 # What a plugin may ask for.
 PERMISSIONS = ("filesystem:input", "filesystem:output", "network:approved", "model:cache")
@@ -91,10 +92,33 @@ def out_of_fold(rows: DataFrame, classes: int, folds: int = 5, features: int = 1
     return out
 
 
+def noisy_labels(scores: DataFrame) -> DataFrame:
+    """id, label, likely, margin of the labels that confident learning prunes by noise rate, of rows (id, label, probabilities).
+
+    Rows are counted by their label and the likeliest class that passes its bar, the mean probability it has in rows that carry
+    it; a label's counts are scaled to its rows, which says how many of them belong to each other class. So many of its rows
+    are taken for that class by the greatest margin over the label, ties by id, if their likeliest class is not the label.
+    Rows are numbered over ranges of label, class and margin, so that a label of any size is no group.
+    """
+    own = scores.withColumn("self", F.get("probabilities", F.col("label")))
+    bars = own.groupBy("label").agg(F.avg("self").alias("bar")).agg(F.map_from_entries(F.collect_list(F.struct("label", "bar"))).alias("bars"))
+    ranked = F.transform("probabilities", lambda p, k: F.named_struct(F.lit("p"), p, F.lit("k"), -k))
+    passing = F.array_max(F.filter(ranked, lambda x: F.coalesce(x["p"] >= F.element_at("bars", -x["k"]), F.lit(False))))
+    seen = own.crossJoin(F.broadcast(bars)).select("label", (-passing["k"]).alias("j")).groupBy("label", "j").agg(F.count("*").alias("c"))
+    per = seen.groupBy("label").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("j").isNotNull(), F.col("c"))).alias("counted"))
+    take = seen.where("j <> label").join(per, "label").select("label", "j", F.floor(F.col("c") / F.col("counted") * F.col("n") + 0.5).alias("take"))
+    others = scores.select("id", "label", (-F.array_max(ranked)["k"]).alias("best"), F.get("probabilities", F.col("label")).alias("self"), F.posexplode("probabilities").alias("j", "p")).where("j <> label")
+    placed = numbered(others.withColumn("margin", F.col("p") - F.col("self")), "label", "j", F.desc("margin"), "id", name="at")
+    begins = placed.groupBy("label", "j").agg(F.min("at").alias("begin"))
+    found = placed.join(begins, ["label", "j"]).join(take, ["label", "j"]).where((F.col("at") - F.col("begin") < F.col("take")) & (F.col("best") != F.col("label")))
+    first = found.groupBy("id", "label").agg(F.max_by("j", F.struct("margin", -F.col("j"))).alias("likely"), F.max("margin").alias("margin"))
+    return first.select("id", "label", "likely", F.round("margin", 6).alias("margin"))
+
+
 def label_issues(rows: DataFrame, classes: int, folds: int = 5) -> DataFrame:
     """Issues (text_id, issue_type possible_label_error, score: the margin, evidence) of rows' labels (id, text, label) that
-    out-of-fold probabilities contradict, by suspect_labels()."""
-    found = suspect_labels(out_of_fold(rows, classes, folds))
+    out-of-fold probabilities contradict, by noisy_labels()."""
+    found = noisy_labels(save(out_of_fold(rows, classes, folds), "probabilities"))
     evidence = F.to_json(F.struct("label", "likely"))
     return found.select(F.col("id").alias("text_id"), F.lit("possible_label_error").alias("issue_type"), F.col("margin").alias("score"), F.lit(0.0).alias("threshold"), F.lit("open").alias("status"), evidence.alias("evidence"))
 
