@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lineage import save
 from .ranking import numbered
 
 ACTIVE = ("keep", "restore")
+FEW_CATEGORIES = 100_000
 DECISIONS = ("keep", "review", "quarantine", "reject", "restore", "pending")
 
 
@@ -136,8 +138,8 @@ def postings(items: DataFrame, labels: DataFrame, kind: str | None = None, size:
     Rows are numbered over the ranges of (category, id); a category's least number, one row a category, turns numbers into places.
     """
     rows = numbered(labelled(items, labels, kind), "category", "id", name="_at", start=0)
-    begins = rows.groupBy("category").agg(F.min("_at").alias("_from"))
-    rows = rows.join(begins, "category").withColumn("chunk", F.floor((F.col("_at") - F.col("_from")) / size))
+    begins = save(rows.groupBy("category").agg(F.min("_at").alias("_from")), "begins")
+    rows = rows.join(F.broadcast(begins) if begins.count() <= FEW_CATEGORIES else begins, "category").withColumn("chunk", F.floor((F.col("_at") - F.col("_from")) / size))
     return rows.groupBy("category", "chunk").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
 
 
