@@ -10,7 +10,7 @@ CHILDREN = {"issues": "text_id", "labels": "doc_id", "captions": "text_id", "dec
 
 
 def current(log: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
-    """The latest state of each key; a row whose ``deleted`` is set ends it. Ties go to the greatest row."""
+    """The latest state of each key; a row whose ``deleted`` is set ends it. Ties go to the row with the greatest hash."""
     last = log.groupBy(key).agg(F.max_by(F.struct(*log.columns), F.struct(at, F.xxhash64(*log.columns))).alias("r")).select("r.*")
     return last.where(~F.coalesce(F.col("deleted"), F.lit(False))).drop("deleted") if "deleted" in log.columns else last
 
