@@ -1,7 +1,7 @@
 """Incremental ingest: new lines or files of a folder, each text once, by a stateful stream.
 
-The stream's state holds the content hash of every text that has been taken, in RocksDB, dealt by the hash: a batch looks up its
-own hashes only, and neither the target nor earlier input is read again. State, offsets and the list of written files are
+The stream's state holds the content hash of every text that has been taken, 32 bytes each in RocksDB, dealt by the hash: a batch
+looks up its own hashes only, and neither the target nor earlier input is read again. State, offsets and the list of written files are
 committed together in the checkpoint, so a batch that is repeated after a failure or a restart writes its rows once.
 """
 
@@ -17,8 +17,13 @@ from ..functions import text as T
 from ..functions.normalize import trimmed
 from ..sources.readers import EXTENSIONS, decode
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB; a commit uploads what the batch changed, and no store reserves disk that it does not fill, of which a
+#: stream over many partitions would have one share a partition.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 HELD = 1_000_000
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -56,13 +61,15 @@ def _seeds(spark: SparkSession, checkpoint: str, known: DataFrame | None) -> tup
 
 @contextmanager
 def _rocks(spark: SparkSession):
-    """New streams keep their state in RocksDB; the session's own setting comes back afterwards."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
+    """New streams keep their state as _STORE says; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _first_here(batches):
@@ -70,7 +77,7 @@ def _first_here(batches):
     seen: set = set()
     for batch in batches:
         keep = []
-        for i, h in enumerate(batch.column("content_hash").to_pylist()):
+        for i, h in enumerate(batch.column("key").to_pylist()):
             if h not in seen:
                 seen.add(h)
                 keep.append(i)
@@ -88,10 +95,10 @@ def once_each(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     does not meet in one task.
     """
     t = F.col("text")
-    taken = rows.select(F.sha2(t, 256).alias("content_hash"), "text", "source_uri").mapInArrow(_first_here, "content_hash string, text string, source_uri string")
-    none = seeds.select("content_hash", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source_uri"))
-    first = taken.unionByName(none).dropDuplicates(["content_hash"]).where("text is not null")
-    return first.select("content_hash", "text", "source_uri", F.length(t).cast("long").alias("char_count"), T.tokens_estimate(t).alias("tokens"))
+    taken = rows.select(F.unhex(F.sha2(t, 256)).alias("key"), "text", "source_uri").mapInArrow(_first_here, "key binary, text string, source_uri string")
+    none = seeds.select(F.unhex("content_hash").alias("key"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source_uri"))
+    first = taken.unionByName(none).dropDuplicates(["key"]).where("text is not null")
+    return first.select(F.lower(F.hex("key")).alias("content_hash"), "text", "source_uri", F.length(t).cast("long").alias("char_count"), T.tokens_estimate(t).alias("tokens"))
 
 
 def ingest(spark: SparkSession, make, target: str, checkpoint: str, known: DataFrame | None = None):
