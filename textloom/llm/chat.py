@@ -101,3 +101,21 @@ def op7_budgeted_chat_windows(spark, sf_dir: str) -> DataFrame:
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+
+
+_LONG = "length({0}) + length(regexp_replace({0}, '[^{1}]', '', 'g'))"
+#: The query in SQL: turns numbered by a window, windows begun by a recursion over the turns, characters counted without making them.
+SQL = rf"""WITH RECURSIVE said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, role)),
+numbered AS (SELECT *, row_number() OVER o - 1 AS i, ceil(length(text) / 4)::BIGINT + {OVERHEAD} AS k FROM said WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+turns AS (SELECT *, sum(k) OVER (PARTITION BY conv_id ORDER BY i) AS upto, {len("<turn   L></turn>")} + {_LONG.format("role", r"\\<\[ >")} + length(i::VARCHAR) + {_LONG.format("text", r"\\<\[")} AS chars FROM numbered),
+convs AS (SELECT conv_id, count(*) AS n, max(CASE WHEN i = 0 AND role = 'system' THEN 1 ELSE 0 END) AS sys, max(CASE WHEN i = 0 AND role = 'system' THEN k ELSE 0 END) AS sys_k, max(CASE WHEN i = 0 AND role = 'system' THEN chars ELSE 0 END) AS sys_chars,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS fresh FROM turns GROUP BY conv_id),
+walk AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS s, 0::HUGEINT AS before FROM convs
+  UNION ALL SELECT w.conv_id, t.i, CASE WHEN t.upto - w.before > greatest({BUDGET // 4}, {BUDGET - HISTORY} - c.sys_k) THEN t.i ELSE w.s END, CASE WHEN t.upto - w.before > greatest({BUDGET // 4}, {BUDGET - HISTORY} - c.sys_k) THEN t.upto - t.k ELSE w.before END
+  FROM walk w JOIN turns t ON t.conv_id = w.conv_id AND t.i = w.i + 1 JOIN convs c ON c.conv_id = w.conv_id),
+windows AS (SELECT DISTINCT conv_id, s, before FROM walk),
+again AS (SELECT w.conv_id, w.s, coalesce(sum(t.chars) FILTER (t.i >= c.sys AND w.before - (t.upto - t.k) <= {HISTORY}), 0) + CASE WHEN w.s > 0 THEN any_value(c.sys_chars) ELSE 0 END + {len("<window></window>")} AS chars
+  FROM windows w JOIN convs c ON c.conv_id = w.conv_id LEFT JOIN turns t ON t.conv_id = w.conv_id AND t.i < w.s GROUP BY w.conv_id, w.s),
+more AS (SELECT conv_id, sum(chars) AS chars, count(*) AS n_windows FROM again GROUP BY conv_id)
+SELECT c.conv_id, c.n AS n_turns, c.turns_sha256, length(c.loss)::BIGINT AS loss_chars, sha256(c.loss) AS loss_sha256, (c.fresh + m.chars)::BIGINT AS formatted_chars, m.n_windows FROM convs c JOIN more m ON m.conv_id = c.conv_id"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import SQL as CHAT_SQL
 from .chat import op7_budgeted_chat_windows
 from .context_mixing import op6_context_mixing
 from .decontamination import op9_qgram_decontamination
@@ -16,6 +17,7 @@ from .resampling import op11_overlap_resampling
 from .spelling import SQL as SPELLING_SQL
 from .spelling import op12_spelling_variants
 from .toxicity import op4_toxicity_severity
+from .url_filter import SQL as URL_SQL
 from .url_filter import op3_host_reputation
 
 QUERIES = {
@@ -35,4 +37,9 @@ QUERIES = {
 }
 
 #: Methods that are fitted, hashed or iterative have no SQL; tests/llm compare those with brute force.
-ORACLE_SQL: dict[str, str] = {"op11_overlap_resampling": RESAMPLING_SQL, "op12_spelling_variants": SPELLING_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_host_reputation": URL_SQL,
+    "op7_budgeted_chat_windows": CHAT_SQL,
+    "op11_overlap_resampling": RESAMPLING_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
+}

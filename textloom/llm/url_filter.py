@@ -101,3 +101,29 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMI
 
 def op3_host_reputation(spark, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def _level_sql(level: str, parent: str | None) -> str:
+    """SQL of a level's posterior counts from the hosts' and its parent's."""
+    mean, keys = (f"p_{parent}.a / (p_{parent}.a + p_{parent}.b)", f"{level}, {parent}") if parent else ("(SELECT a / (a + b) FROM everything)", level)
+    joined = f" JOIN p_{parent} USING ({parent})" if parent else ""
+    return f"""o_{level} AS (SELECT o.*, {mean} AS m FROM (SELECT {keys}, sum(g) AS g, sum(n) AS n FROM hosts GROUP BY {keys}) o{joined}),
+s_{level} AS (SELECT least(1000, greatest(1, sum(n * m * (1 - m)) / greatest(sum(n), 1) / greatest((sum(n * pow(g / n - m, 2)) - sum(m * (1 - m))) / greatest(sum(n), 1), 1e-6) - 1)) AS s FROM o_{level}),
+p_{level} AS (SELECT {keys}, m * s + g AS a, (1 - m) * s + n - g AS b FROM o_{level}, s_{level})"""
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQL = rf"""WITH rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (SELECT row_number() OVER () AS k, page_id, translate(regexp_extract(rest, '\A[^/?#]*'), '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1) AS path FROM rests),
+cut AS (SELECT *, regexp_extract(host, '[^.]*\z') AS suffix, regexp_extract(host, '[^.]*(\.[^.]*)?\z') AS domain FROM urls),
+rules(verdict, h, p) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
+listed AS (SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k),
+outcomes AS (SELECT doc_id, min(quality)::DOUBLE AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+hosts AS (SELECT host, domain, suffix, sum(good) AS g, count(*)::DOUBLE AS n FROM cut JOIN outcomes ON doc_id = page_id WHERE host <> '' GROUP BY ALL),
+everything AS (SELECT coalesce(sum(g), 0) + 1 AS a, coalesce(sum(n) - sum(g), 0) + 1 AS b FROM hosts),
+{_level_sql("suffix", None)},
+{_level_sql("domain", "suffix")},
+{_level_sql("host", "domain")},
+known AS (SELECT c.*, coalesce(h.a, d.a, s.a, e.a) AS a, coalesce(h.b, d.b, s.b, e.b) AS b FROM cut c CROSS JOIN everything e LEFT JOIN p_host h ON h.host = c.host LEFT JOIN p_domain d ON d.domain = c.domain LEFT JOIN p_suffix s ON s.suffix = c.suffix),
+bound AS (SELECT k, page_id, host, path, round(a / (a + b), 6) AS reputation, round(a / (a + b) + {Z} * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)), 6) AS upper FROM known)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN upper < {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, reputation, upper FROM bound LEFT JOIN listed USING (k)"""
