@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import save
+
 
 def _changed(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """rows with the columns that ``changes`` (one row a key) has set; null leaves the old value."""
@@ -80,8 +82,10 @@ def worst(issues: DataFrame, limit: int) -> DataFrame:
 def ranked(issues: DataFrame, most: int) -> DataFrame:
     """Each type's ``most`` issues of highest score with their place and the type's count of issues.
 
-    The count is an aggregate and the window's filter bounds what a task keeps of a type, so no type is gathered whole.
+    The count is an aggregate and the window's filter bounds what a task keeps of a type, so no type is gathered whole. Issues
+    are written once, for what makes them is dear and both read them.
     """
+    issues = save(issues, "issues")
     place = Window.partitionBy("issue_type").orderBy(F.desc("score"), "text_id")
     count = issues.groupBy("issue_type").agg(F.count("*").alias("of_type"))
     top = issues.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
