@@ -453,7 +453,7 @@ def filtered_count(spark, d):
 
 @query(f"""{_ALL} SELECT i.text_id, i.issue_type, CASE WHEN i.text_id % 3 = 0 THEN 'dismissed' WHEN i.text_id % 3 = 1 THEN 'acknowledged' ELSE 'open' END AS status, CASE WHEN i.text_id % 3 < 2 THEN 'local' END AS reviewed_by FROM issues i""")
 def issues_acknowledged(spark, d):
-    rows = _issues(spark, d).withColumn("id", F.concat_ws("/", F.col("text_id").cast("string"), "issue_type"))
+    rows = lineage.save(_issues(spark, d).withColumn("id", F.concat_ws("/", F.col("text_id").cast("string"), "issue_type")), "issues")
     state = F.when(F.col("text_id") % 3 == 0, "dismissed").otherwise("acknowledged")
     acks = rows.where("text_id % 3 < 2").select("id", state.alias("status"), F.lit("local").alias("reviewed_by"), F.lit(None).cast("timestamp").alias("reviewed_at"))
     return review.acknowledge(rows, acks).select("text_id", "issue_type", "status", "reviewed_by")
