@@ -5,7 +5,9 @@ them, rarest first. One edit spoils at most two bigrams of a word and keeps the
 share one of each one's three rarest, at positions at most one apart. The edit then lies wholly left or right of the shared
 bigram: the other side of the word is equal, and of the edited side either its first or its second half. These equal parts
 are the join's keys, so a frequent bigram or beginning gathers only words that agree in most letters too, and Spark's
-Levenshtein distance verifies each pair. Nothing but the bigrams' counts, at most LETTERS squared, reaches the driver.
+Levenshtein distance verifies each pair. Nothing but the bigrams' counts, at most LETTERS squared, reaches the driver: joins
+are hinted to merge, since Spark's estimate of the keys' size takes no account of the rows that explode() makes of each
+word, so that it would broadcast many times the threshold.
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ def near(vocab: DataFrame) -> DataFrame:
     """word, n, other, other_n: every pair of words exactly one inserted, deleted or replaced code point apart, both ways."""
     rows = keyed(rarest(vocab))
     x, y = rows.where("not longer").select(F.col("word").alias("wx"), F.col("n").alias("nx"), "key"), rows.select(F.col("word").alias("wy"), F.col("n").alias("ny"), "longer", "key")
-    met = x.join(y, "key").where(F.col("longer") | (F.col("wx") < F.col("wy")))
+    met = x.join(y.hint("merge"), "key").where(F.col("longer") | (F.col("wx") < F.col("wy")))
     pairs = met.where(F.levenshtein("wx", "wy", 1) == 1).select("wx", "nx", "wy", "ny").distinct()
     both = F.array(*(F.struct(F.col(a).alias("word"), F.col(b).alias("n"), F.col(c).alias("other"), F.col(d).alias("other_n")) for a, b, c, d in (("wx", "nx", "wy", "ny"), ("wy", "ny", "wx", "nx"))))
     return pairs.select(F.inline(both))
@@ -133,9 +135,9 @@ def roots(forms: DataFrame) -> DataFrame:
     now = save(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        if now.join(further, "root", "left_semi").isEmpty():
+        if now.join(further.hint("merge"), "root", "left_semi").isEmpty():
             return now
-        last, now = now, save(now.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+        last, now = now, save(now.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
         discard(last)
 
 
@@ -150,7 +152,7 @@ def variants(vocab: DataFrame, times: int = TIMES) -> DataFrame:
     fits = F.col("best.other_n") >= times * F.col("n")
     some = save(some.select("word", "n_near", F.when(fits, F.col("best.other")).alias("form"), F.when(fits, F.col("best.other_n")).alias("form_n")), "forms")
     last = roots(some.where("form is not null"))
-    out = vocab.join(some, "word", "left").join(last, "word", "left")
+    out = vocab.join(some.hint("merge"), "word", "left").join(last.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 
